@@ -5,7 +5,7 @@ the highest bid gets the record, ties go to the lower shard. A bid depends on no
 takes records only into itself (about its share of the weight), and one shard less gives back only its own.
 
 Null keys are hashed as an empty string with a mark of their own; null texts have no bytes; equal keys meet in one shard.
-Extra columns are kept by ``assign``; names that clash with its result columns raise ``ValueError``.
+``assign`` keeps all columns under ``row``, so no name clashes; ``shard_report`` reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.ranks import gapless
+from keyfold.llm.store import as_rows
 
 SEED = 1701
 SHARDS = 24
@@ -38,11 +39,9 @@ def shard_of(key: Column, weights: Sequence[float], seed: int = SEED) -> Column:
     return (-best["s"]).cast("int")
 
 
-def assign(df: DataFrame, key: str, weights: Sequence[float], seed: int = SEED, name: str = "shard") -> DataFrame:
-    """``df`` with the shard of each row; one narrow pass, no shuffle."""
-    if name in df.columns:
-        raise ValueError(f"column {name} is there already")
-    return df.withColumn(name, shard_of(F.col(key), weights, seed))
+def assign(df: DataFrame, key: str, weights: Sequence[float], seed: int = SEED) -> DataFrame:
+    """``row`` (all columns of ``df``) and ``shard``; one narrow pass, no shuffle."""
+    return as_rows(df).withColumn("shard", shard_of(F.col(f"row.`{key}`"), weights, seed))
 
 
 def write_shards(df: DataFrame, key: str, weights: Sequence[float], path: str, seed: int = SEED) -> None:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def as_rows(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``: what is added beside it clashes with no name."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def from_rows(df: DataFrame) -> DataFrame:
+    """The columns that ``as_rows`` has wrapped, without what was added."""
+    return df.select("row.*")

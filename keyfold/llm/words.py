@@ -64,6 +64,18 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(sums * down[starts])
 
 
+class Spans:
+    """Hashes of any spans of some bytes: running sums once, then one difference a span. Equal bytes have equal hashes, here and in span_hash."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _power(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+
+
 class Words(NamedTuple):
     """Words of some texts: ``off`` has where each text's words begin, with one more entry at the end."""
 
@@ -109,9 +121,12 @@ def pieces(column: pa.Array | pa.ChunkedArray, most: int = PIECE) -> Iterator[tu
         lo = hi
 
 
-def find_words(raw: np.ndarray, off: np.ndarray) -> Words:
+def find_words(raw: np.ndarray, off: np.ndarray, classes: np.ndarray = _IS_WORD) -> Words:
+    """Runs of bytes of one class other than 0; by default class 1 is all but white space."""
     data = _LOWER[raw]
-    inside = _IS_WORD[raw]
+    inside = classes[raw]
+    if inside.dtype != bool:
+        return _runs(data, inside, off)
     n = len(data)
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -123,9 +138,29 @@ def find_words(raw: np.ndarray, off: np.ndarray) -> Words:
     return Words(data, off, starts, ends, np.searchsorted(starts, off))
 
 
-def words_of(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, Words]]:
+def _runs(data: np.ndarray, kind: np.ndarray, off: np.ndarray) -> Words:
+    n = len(data)
+    change = np.ones(n + 1, bool)
+    change[1:-1] = kind[1:] != kind[:-1]
+    change[off] = True
+    edges = np.flatnonzero(change)
+    starts, ends = edges[:-1], edges[1:]
+    use = kind[starts] > 0 if n else np.zeros(0, bool)
+    starts, ends = starts[use], ends[use]
+    return Words(data, off, starts, ends, np.searchsorted(starts, off))
+
+
+#: Letters, digits and all bytes from 0x80: 1; other bytes that are no white space: 2.
+WORD_PUNCT = np.where(_IS_WORD, 2, 0).astype(np.int8)
+WORD_PUNCT[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
+
+#: Letters, digits and all bytes from 0x80; all else parts words.
+ALNUM = WORD_PUNCT == 1
+
+
+def words_of(column: pa.Array | pa.ChunkedArray, classes: np.ndarray = _IS_WORD) -> Iterator[tuple[int, int, Words]]:
     for lo, hi, raw, off in pieces(column):
-        yield lo, hi, find_words(raw, off)
+        yield lo, hi, find_words(raw, off, classes)
 
 
 def shingles(h: np.ndarray, off: np.ndarray, k: int, bits: int = 48) -> tuple[np.ndarray, np.ndarray]:
