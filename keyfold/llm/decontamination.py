@@ -114,7 +114,7 @@ def blocks(items: DataFrame, key: str, text: str) -> Iterator[Items]:
                 yield made()
                 ids.clear(), hashes.clear(), sizes.clear()
                 total = 0
-            ids.append(r[key]), hashes.append(w.hashes), sizes.append(len(w.starts))
+            ids.append(r[key]), hashes.append(w.folded().hashes), sizes.append(len(w.starts))
             total += len(w.starts)
     if total:
         yield made()
@@ -124,7 +124,7 @@ def find(sent: Broadcast, column: pa.Array) -> Iterator[tuple[int, int, tuple[in
     """(row, item id, stretch) of each leak in a batch of texts: the longest agreement for each row and item."""
     items: Items = sent.value
     for lo, _, w in words_of(column, ALNUM):
-        h = w.hashes
+        h = w.folded().hashes
         best: dict = {}
         for row, item, diagonal in items.hits(h, w.off):
             leak = items.leak(h[w.off[row] : w.off[row + 1]], item, diagonal)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import decontamination, importance, packing, sharding, token_files, topk, toxicity
+from keyfold.llm import decontamination, importance, packing, sharding, suffix_tree, token_files, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_report(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,5 +63,5 @@ WITH flat AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_length_buckets, op4_toxicity_cnn, op5_rendezvous, op6_spaced_seeds, op8_exact_top_k, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_length_buckets, op3_suffix_tree, op4_toxicity_cnn, op5_rendezvous, op6_spaced_seeds, op8_exact_top_k, op9_token_files)}
 ORACLE_SQL = {"op8_exact_top_k": OP8_SQL}

@@ -93,6 +93,12 @@ class Words(NamedTuple):
     def counts(self) -> np.ndarray:
         return np.diff(self.off)
 
+    def folded(self) -> Words:
+        """With the accented capitals of Latin-1 (C3 80 to C3 9E, but 97) in lower case too."""
+        up = np.flatnonzero((self.data[:-1] == 0xC3) & (self.data[1:] >= 0x80) & (self.data[1:] <= 0x9E) & (self.data[1:] != 0x97)) + 1
+        self.data[up] += 0x20
+        return self
+
     def rows(self) -> np.ndarray:
         """The number of its text for each word."""
         return np.repeat(np.arange(len(self.off) - 1), self.counts)
