@@ -2,6 +2,7 @@
 
 Tokens are runs of letters and digits, and runs of other signs; unigrams and bigrams are hashed into a fixed number of buckets. The raw model counts the
 n-grams of all documents; the target model those of a bounded sample of rows labelled as good (``SAMPLE`` rows with the least hashes of their ids).
+Seven tenths of the sample make the target model, the rest the cut.
 A text's log weight is its mean log ratio over its n-grams, times ``SHARPNESS``: as if all texts had so many n-grams, lest length decide. Each text gets a Gumbel
 number from a hash of its id and text, so a retried task draws the same; the k texts with the highest sums are a sample without
 replacement in proportion to the weights. By default k is how many texts reach the cut that parts good from bad labelled rows best.
@@ -55,11 +56,13 @@ def counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 0.1) -> np.ndarray:
-    """Per bucket, log of the target's share over the raw share; all 0 without target text."""
-    if not target.sum():
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = 5.0, noise: float = 0.25) -> np.ndarray:
+    """Per bucket, log of the target's share over the raw share. ``prior`` counts draw it to 0 (what is rare in both says little), and so does
+    ``noise``, by which all ratios shrink: a slight lack of a language among the labels must not add up over its texts. All 0 without target text."""
+    if not target.sum() or not raw.sum():
         return np.zeros_like(raw)
-    return np.log((target + smooth) / (target.sum() + smooth * len(target))) - np.log((raw + smooth) / (raw.sum() + smooth * len(raw)))
+    ratio = np.log(target + prior) - np.log(target.sum() * raw / raw.sum() + prior)
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - noise, 0)
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text") -> DataFrame:
@@ -95,9 +98,10 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """doc_id, text, _good of the bounded sample of labelled rows."""
+    """doc_id, text, _good, _fit (makes the model, not the cut) of the bounded sample of labelled rows."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_good"))
     picked = marks.orderBy(F.xxhash64(F.col("doc_id"), F.lit(23)), "doc_id").limit(limit)
+    picked = picked.withColumn("_fit", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(10)) < 7)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
@@ -110,12 +114,12 @@ def gumbel(*key: str) -> object:
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, limit: int = SAMPLE) -> DataFrame:
     """The sampled rows: ``row``, ``log_weight``, ``sum`` (weight and Gumbel number, in parts of FIXED)."""
     some = labelled(docs, labels, limit)
-    ratio = log_ratio(counts(some.where("_good = 1")), counts(docs))
+    ratio = log_ratio(counts(some.where("_good = 1 AND _fit")), counts(docs))
     scored = weigh(docs, ratio)
     noisy = scored.withColumn("sum", F.floor((F.col("log_weight") + gumbel("row.doc_id", "row.text")) * F.lit(FIXED)).cast(LongType()))
     keys = written(noisy.select("log_weight", "sum"), "sums")
     if k is None:
-        marks = weigh(some, ratio).select("row._good", "log_weight").toPandas()
+        marks = weigh(some.where("NOT _fit"), ratio).select("row._good", "log_weight").toPandas()
         good = marks["_good"] == 1
         cut = best_cut(marks["log_weight"][good].to_numpy(), marks["log_weight"][~good].to_numpy())
         k = keys.where(F.col("log_weight") >= F.lit(cut)).count()

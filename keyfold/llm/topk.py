@@ -79,17 +79,17 @@ def _select(spark: SparkSession, rows: DataFrame, ids: np.ndarray, q: np.ndarray
     sent = spark.sparkContext.broadcast((ids, q))
     while not done.all():
         step = np.maximum(1, -(-width // BINS))
-        state = spark.sparkContext.broadcast((lo, step, done))
+        state = spark.sparkContext.broadcast((lo, width, step, done))
 
         def count(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            (ids, q), (lo, step, done) = sent.value, state.value
+            (ids, q), (lo, width, step, done) = sent.value, state.value
             live = np.flatnonzero(~done)
             total = np.zeros((len(live), BINS), np.int64)
             flat = np.arange(len(live))[:, None] * BINS
             for own, x in _rows(batches, dim):
                 s = scores(q[live], x, exact)
                 bin_ = (s - lo[live, None]) // step[live, None]
-                use = (bin_ >= 0) & (bin_ < BINS) & (own[None, :] != ids[live, None])
+                use = (bin_ >= 0) & (s < (lo + width)[live, None]) & (own[None, :] != ids[live, None])
                 total += np.bincount((bin_ + flat)[use], minlength=total.size).reshape(total.shape)
             r, b = np.nonzero(total)
             yield pa.record_batch([pa.array(live[r].astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[r, b])], ["r", "b", "n"])
