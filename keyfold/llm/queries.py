@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import decontamination, importance, jaccard_join, packing, sharding, suffix_tree, token_files, topk, toxicity
+from keyfold.llm import decontamination, importance, jaccard_join, license_scan, packing, sharding, suffix_tree, token_files, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.default_templates(spark))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
 
@@ -94,5 +98,5 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_length_buckets, op3_suffix_tree, op4_toxicity_cnn, op5_rendezvous, op6_spaced_seeds, op8_exact_top_k, op9_token_files, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_length_buckets, op3_suffix_tree, op4_toxicity_cnn, op5_rendezvous, op6_spaced_seeds, op7_license_scan, op8_exact_top_k, op9_token_files, op10_ngram_jaccard_join)}
 ORACLE_SQL = {"op8_exact_top_k": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
