@@ -50,9 +50,9 @@ def counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "n"])
 
-    found = docs.select(text).mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(text).mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << BITS)
-    out[found["b"]] = found["n"]
+    out[found["b"].to_numpy()] = found["n"].to_numpy()
     return out
 
 

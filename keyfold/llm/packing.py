@@ -69,7 +69,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 
 def fit_buckets(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Boundaries for a column ``n_tokens``: the histogram has a bounded number of rows."""
-    hist = lengths.groupBy(on_grid(F.col("n_tokens")).alias("n")).agg(F.count(F.lit(1)).alias("c")).toPandas()
+    hist = lengths.groupBy(on_grid(F.col("n_tokens")).alias("n")).agg(F.count(F.lit(1)).alias("c")).toArrow()
     return boundaries(hist["n"].to_numpy(), hist["c"].to_numpy(), buckets)
 
 

@@ -95,9 +95,9 @@ def _select(spark: SparkSession, rows: DataFrame, ids: np.ndarray, q: np.ndarray
             yield pa.record_batch([pa.array(live[r].astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[r, b])], ["r", "b", "n"])
 
         # one bounded histogram for each query of the block, whatever the number of rows
-        found = rows.mapInArrow(count, "r int, b int, n long").groupBy("r", "b").agg(F.sum("n").alias("n")).toPandas()
+        found = rows.mapInArrow(count, "r int, b int, n long").groupBy("r", "b").agg(F.sum("n").alias("n")).toArrow()
         hist = np.zeros((len(ids), BINS), np.int64)
-        hist[found["r"], found["b"]] = found["n"]
+        hist[found["r"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
         for r in np.flatnonzero(~done):
             top = np.cumsum(hist[r][::-1])
             if top[-1] < need[r]:  # fewer rows than k: all are results
