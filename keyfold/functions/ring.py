@@ -38,8 +38,8 @@ def lookup(keys: DataFrame, ring: DataFrame, buckets: int = 256) -> DataFrame:
     ahead = Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)  # at most ``buckets`` rows
     every = keys.sparkSession.range(buckets).select(F.col("id").cast("int").alias("range"))
     after = every.join(first, "range", "left").withColumn("next", F.first("p", ignorenulls=True).over(ahead))
-    wrap = first.agg(F.min("p").alias("least"))
-    after = after.crossJoin(wrap).select("range", F.coalesce("next", "least").alias("beyond"))
+    lowest = F.first("p", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = after.select("range", F.coalesce("next", lowest).alias("beyond"))
     left = keys.withColumn("hash", key_hash(F.col("key"))).withColumn("range", F.floor(F.col("hash") / width).cast("int"))
     left = left.select(F.struct(*keys.columns, "hash").alias("row"), "range", F.col("hash").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<hpoint:bigint,node:string>").alias("p"))
     right = points.select(F.lit(None).cast(left.schema["row"].dataType).alias("row"), "range", F.col("hpoint").alias("at"), F.lit(0).alias("kind"), F.struct("hpoint", "node").alias("p"))

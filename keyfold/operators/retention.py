@@ -49,15 +49,15 @@ def evict(items: DataFrame, capacity: int, now: int, buckets: int = 1024) -> Dat
     """
     alive = items.where(valid(F.col("exptime"), None, now))
     sticky = F.col("exptime") == -1
-    held = alive.where(sticky).agg(F.coalesce(F.sum("nbytes"), F.lit(0)).alias("held"))
+    held = alive.where(sticky).agg(F.coalesce(F.sum("nbytes"), F.lit(0))).scalar()
     rest = alive.where(~sticky)
-    span = rest.agg(F.min("atime").alias("lo"), F.max("atime").alias("hi"))
-    dealt = rest.crossJoin(F.broadcast(span)).withColumn("_b", F.floor((F.col("atime") - F.col("lo")) * F.lit(buckets) / (F.col("hi") - F.col("lo") + F.lit(1))).cast("int")).drop("lo", "hi")
+    span = rest.agg(F.struct(F.min("atime").alias("lo"), F.max("atime").alias("hi"))).scalar()
+    dealt = rest.withColumn("_b", F.floor((F.col("atime") - span["lo"]) * F.lit(buckets) / (span["hi"] - span["lo"] + F.lit(1))).cast("int"))
     newer = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
     sums = dealt.groupBy("_b").agg(F.sum("nbytes").alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(newer), F.lit(0))).drop("_n")
     own = Window.partitionBy("_b").orderBy(F.desc("atime"), "key").rowsBetween(Window.unboundedPreceding, 0)
     kept = dealt.join(F.broadcast(sums), "_b").withColumn("_sum", F.sum("nbytes").over(own) + F.col("_above"))
-    kept = kept.crossJoin(F.broadcast(held)).where(F.col("_sum") + F.col("held") <= F.lit(capacity)).select(items.columns)
+    kept = kept.where(F.col("_sum") + held <= F.lit(capacity)).select(items.columns)
     return kept.unionByName(alive.where(sticky))
 
 

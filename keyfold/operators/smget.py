@@ -65,9 +65,9 @@ def smget(items: DataFrame, elements: DataFrame, keys: DataFrame, a: object, b:
     off = off | ((F.lit(b) == end) & (F.coalesce("between", F.lit(0)) == 0))
     side = side & F.lit(a != b)  # a single key is met or not
     ran = taking.where(side).join(inside, "key", "left").where(off).select("key", end.alias("bkey")).distinct()
-    last = rows.agg(F.count(F.lit(1)).alias("n"), (F.max("bkey") if up else F.min("bkey")).alias("last"))
-    before = F.col("bkey") < F.col("last") if up else F.col("bkey") > F.col("last")
-    trimmed = ran.crossJoin(F.broadcast(last)).where((F.col("n") < count) | before).select("key", "bkey")  # one row
+    last = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), (F.max("bkey") if up else F.min("bkey")).alias("last")).alias("x")).scalar()
+    before = F.col("bkey") < last["last"] if up else F.col("bkey") > last["last"]
+    trimmed = ran.where((last["n"] < count) | before).select("key", "bkey")
     return SortMerge(rows, missed, trimmed)
 
 
