@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20  # bytes of text handled at once (one row at least)
+PIECE = 1 << 20  # bytes of text handled at once (one row at least)
 ROWS = 1 << 15  # rows handled at once
 
 _IS_WORD = np.ones(256, bool)
