@@ -27,7 +27,7 @@ from keyfold.llm.words import WORD_PUNCT, Words, mix, words_of
 
 BITS = 16
 SAMPLE = 20_000
-SHARPNESS = 40.0
+SHARPNESS = 400.0
 FIXED = 1 << 20  # sums are compared as integers of this many parts of one
 
 
