@@ -7,12 +7,15 @@ of frequent shingles that the other lacks, and in prefixes extended far enough t
 rare shingles are few enough are indexed by each pair of neighbouring frequent shingles of the extended prefix.
 A set gets no more keys than it has shingles, and a key of a frequent class needs both shingles, which only copies share.
 
+Most candidates only share a passage. A parity bitmap of each set, of one to two bits a shingle, shows that exactly: two sets differ in at least as many shingles as
+their bitmaps do in bits. Only pairs that this bound lets through move their sets.
+
 Frequency classes come from counts over all texts: shingles in more than ``RARE`` texts are frequent (the most frequent ``TABLE``, if there are more, which changes
 costs only). Candidates are verified by exact intersection, in two rounds: every member of a bucket against the bucket's first member; then, in buckets that still
 hold several components, all pairs of different components. So every link between components is found, but no group of copies expands into its pairs.
 
 Null and empty texts have no set and are a class of their own row. Texts with fewer than k words have one shingle. Rows with equal ids
-count as one text if their sets are equal. An empty table gives an empty result.
+count as one text if their sets are equal; rows without an id link to nothing and have no class. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from keyfold.llm.words import mix, seeded, shingles, words_of
 RARE = 12
 TABLE = 1 << 21
 _BITS = 48
+SHORT = 8  # longs of the bitmap that candidate joins compare
+_Q = [f"q{i}" for i in range(SHORT)]
 _MULT = seeded(2, 31337)
 
 
@@ -68,14 +73,15 @@ def unpack_ascending(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps), n
 
 
-def frequent(docs: DataFrame, k: int, text: str, above: int = RARE, limit: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, rank by number of texts) of the shingles in more than ``above`` texts, ascending; counted over all texts.
+def frequent(docs: DataFrame, k: int, text: str, above: int = RARE, limit: int = TABLE) -> tuple[int, np.ndarray, np.ndarray]:
+    """(bits, shingles, rank by number of texts) of the shingles in more than ``above`` texts, ascending; counted over all texts.
 
+    Shingles count by their leading bits, 2**30 values for each shuffle partition: few share a value, and those only seem more frequent than they are.
     Tasks hand on sorted runs by range of shingles, each range is merged by one task, and there are as many ranges as keep them small.
     """
-    spark = docs.sparkSession
-    ranges = 1 << (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    shift = np.uint64(_BITS - min(_BITS, ranges.bit_length() - 1))
+    partitions = (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    bits = min(_BITS, 30 + partitions)
+    cut, shift = np.uint64(_BITS - bits), np.uint64(bits - 3 - partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
@@ -90,9 +96,9 @@ def frequent(docs: DataFrame, k: int, text: str, above: int = RARE, limit: int =
 
         for b in batches:
             for _, _, x, _ in sets_of(b.column(0), k):
-                kept.append(x)
+                kept.append(x >> cut)
                 size += len(x)
-                if size > 6 << 20:
+                if size > 2 << 20:
                     yield flush()
                     size = 0
         if size:
@@ -113,15 +119,15 @@ def frequent(docs: DataFrame, k: int, text: str, above: int = RARE, limit: int =
             break
         room, least = room - c, n
     if least > 1 << 16:
-        rows = found.orderBy(F.desc("n"), "x").limit(limit).toPandas()
+        rows = found.orderBy(F.desc("n"), "x").limit(limit).toArrow()
     else:
-        rows = found.where(F.col("n") >= least).toPandas()
-    x, n = rows["x"].to_numpy(np.int64).astype(np.uint64), rows["n"].to_numpy(np.int64)
+        rows = found.where(F.col("n") >= least).toArrow()
+    x, n = rows["x"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(np.int64)
     order = np.argsort(x)
     x, n = x[order], n[order]
     rank = np.empty(len(x), np.int64)
     rank[np.lexsort((x, n))] = np.arange(len(x))
-    return x, rank
+    return bits, x, rank
 
 
 # ---- keys
@@ -135,24 +141,25 @@ def slack(n: np.ndarray, percent: int) -> np.ndarray:
 class Classes:
     """The frequent shingles with a bit table before them."""
 
-    def __init__(self, x: np.ndarray, rank: np.ndarray):
-        self.x, self.rank = x, rank
+    def __init__(self, bits: int, x: np.ndarray, rank: np.ndarray):
+        self.cut, self.x, self.rank = np.uint64(_BITS - bits), x, rank
         self.near = np.zeros(1 << 22, bool)
-        self.near[x >> np.uint64(_BITS - 22)] = True
+        self.near[x >> np.uint64(bits - 22)] = True
 
     def ranks(self, tokens: np.ndarray) -> np.ndarray:
         """Ranks of frequent shingles, -1: rare."""
         out = np.full(len(tokens), -1)
         if len(self.x):
             at = np.flatnonzero(self.near[tokens >> np.uint64(_BITS - 22)])
-            place = np.minimum(np.searchsorted(self.x, tokens[at]), len(self.x) - 1)
-            hit = self.x[place] == tokens[at]
+            value = tokens[at] >> self.cut
+            place = np.minimum(np.searchsorted(self.x, value), len(self.x) - 1)
+            hit = self.x[place] == value
             out[at[hit]] = self.rank[place[hit]]
         return out
 
 
-def index_keys(tokens: np.ndarray, off: np.ndarray, classes: Classes, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row of each). Odd keys are pairs of neighbouring frequent shingles, even ones single rare shingles."""
+def index_keys(tokens: np.ndarray, off: np.ndarray, classes: Classes, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, row of each, frequent shingles of each row). Odd keys are pairs of neighbouring frequent shingles, even ones single rare shingles."""
     n = np.diff(off)
     row = np.repeat(np.arange(len(n)), n)
     rank = classes.ranks(tokens)
@@ -165,49 +172,112 @@ def index_keys(tokens: np.ndarray, off: np.ndarray, classes: Classes, percent: i
     left = lacks - rares  # frequent shingles that a linked set may lack, where no rare one is shared
     open_ = (rank >= 0) & (left >= 0)[row]
     if open_.any():
-        packed = np.sort((row[open_].astype(np.uint64) << np.uint64(32)) | rank[open_].astype(np.uint64))
-        own, order = (packed >> np.uint64(32)).astype(np.int64), packed & np.uint64(0xFFFFFFFF)
+        own, rank, token = row[open_], rank[open_], tokens[open_]
+        by = np.lexsort((token, rank, own))
+        own, order = own[by], token[by]
         many = np.bincount(own, minlength=len(n))
         place = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
         length = 2 * left + n * (100 - percent) // percent + 2
         pair = np.flatnonzero((own[:-1] == own[1:]) & (place[1:] < length[own[1:]]))
         keys.append(mix(order[pair] * _MULT[0] + order[pair + 1] * _MULT[1]) | np.uint64(1))
         rows.append(own[pair])
-    return np.concatenate(keys), np.concatenate(rows)
+    return np.concatenate(keys), np.concatenate(rows), n - rares
+
+
+def signatures(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens + np.uint64(0x5851F42D4C957F2D)))])
+    return mix((sums[off[1:]] - sums[off[:-1]]) ^ np.diff(off).astype(np.uint64)).view(np.int64)
+
+
+def parity_bits(tokens: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """For each set, bit i is the parity of its shingles that are i modulo the bitmap's size, the power of two from its size up (64 at least)."""
+    n = np.diff(off)
+    size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    begin = np.cumsum(size) - size
+    at = np.repeat(begin, n) + (tokens & (np.repeat(size, n) - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(size.sum())) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((begin // 8).tolist(), ((begin + size) // 8).tolist(), strict=True)]
+
+
+def short_bits(tokens: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+    """The parities of each set's shingles modulo 64 * SHORT, as SHORT long columns."""
+    n = np.diff(off)
+    at = np.repeat(np.arange(len(n)) * 64 * SHORT, n) + (tokens & np.uint64(64 * SHORT - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(n) * 64 * SHORT) & 1).astype(np.uint8)
+    longs = np.packbits(odd, bitorder="little").view(np.int64).reshape(len(n), SHORT)
+    return [pa.array(np.ascontiguousarray(longs[:, i])) for i in range(SHORT)]
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two bitmaps differ; the larger one is folded to the size of the smaller."""
+    if len(a) < len(b):
+        a, b = b, a
+    x = int.from_bytes(a, "little")
+    size = len(a)
+    while size > len(b):
+        size //= 2
+        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
 def profiles(docs: DataFrame, k: int, percent: int, classes: Classes, key: str, text: str) -> DataFrame:
-    """doc_id, n (shingles), sig (of the set), keys of every row; one narrow pass, written."""
+    """doc_id, n (shingles), m (frequent ones), sig (of the set), bits, q0, q1, ..., keys of every row; one narrow pass, written."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, x, off in sets_of(b.column(1), k):
-                n = np.diff(off)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(x + np.uint64(0x5851F42D4C957F2D)))])
-                sig = mix((sums[off[1:]] - sums[off[:-1]]) ^ n.astype(np.uint64)).view(np.int64)
-                keys, row = index_keys(x, off, sent.value, percent)
+                n, sig = np.diff(off), signatures(x, off)
+                keys, row, m = index_keys(x, off, sent.value, percent)
                 order = np.argsort(row, kind="stable")
                 edge = np.searchsorted(row[order], np.arange(hi - lo + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(keys[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sig, mask=n == 0), lists], names=["doc_id", "n", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sig, mask=n == 0), pa.array(parity_bits(x, off), pa.binary()), pa.array(m), *short_bits(x, off), lists], names=["doc_id", "n", "sig", "bits", "m", *_Q, "keys"])
 
-    return written(docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, sig long, keys array<bigint>"), "profiles")
+    return written(docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, f"doc_id long, n long, sig long, bits binary, m long, {', '.join(f'{q} long' for q in _Q)}, keys array<bigint>"), "profiles")
 
 
 # ---- candidates and links
 
 
+_TABLE_BITS = 24
+
+
+def place_of(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - _TABLE_BITS)
+
+
+def bit_table(nodes: DataFrame) -> np.ndarray:
+    """2**24 bits with those of the ids in ``nodes`` (doc_id) set: of fixed size, however many they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = place_of(np.asarray(b.column(0)))
+            yield pa.record_batch([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["w", "b"])
+
+    rows = nodes.select("doc_id").mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(1 << (_TABLE_BITS - 6), np.uint64)
+    table[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
+    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+
+
 def tokens_of(docs: DataFrame, nodes: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """node, tokens of the texts named in ``nodes``: only their texts move."""
+    """sig, tokens of the texts named in ``nodes`` (sig, doc_id). A bit table of fixed size picks their texts in place, so no texts move, only sets; a join
+    then drops the few that it lets through besides."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ids = b.column(0)
+            b = b.filter(pa.array(np.asarray(ids.is_valid()) & sent.value[place_of(np.asarray(ids.fill_null(0)))]))
             for lo, hi, x, off in sets_of(b.column(1), k):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x.astype(np.int64)))], names=["node", "tokens"])
+                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(signatures(x, off)), lists], names=["doc_id", "sig", "tokens"])
 
-    picked = docs.select(F.col(key).cast("long").alias("node"), text).join(nodes, "node", "left_semi")
-    return picked.mapInArrow(run, "node long, tokens array<bigint>").dropDuplicates(["node"])
+    some = docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, sig long, tokens array<bigint>")
+    return some.join(nodes, ["doc_id", "sig"], "left_semi").select("sig", "tokens")
 
 
 def fits(n: Column, m: Column, percent: int) -> Column:
@@ -215,10 +285,30 @@ def fits(n: Column, m: Column, percent: int) -> Column:
     return (F.lit(100) * F.least(n, m)) >= (F.lit(percent) * F.greatest(n, m))
 
 
+def can_link(shared: Column, total: Column, percent: int) -> Column:
+    """Whether so many common shingles do, of both sizes' total."""
+    return F.lit(100) * shared >= F.lit(percent) * (total - shared)
+
+
+def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and bitmaps (sig, n, bits) don't rule out a link."""
+    left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x")), "a")
+    both = left.join(sets.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y")), "b").where(fits(F.col("n_a"), F.col("n_b"), percent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.fromiter((bits_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)), np.int64, batch.num_rows)
+            total = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            shared = (total - apart) // 2
+            yield batch.select([0, 1]).filter(pa.array(100 * shared >= percent * (total - shared)))
+
+    return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``pairs`` whose sets link."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a")
+    both = left.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -228,10 +318,9 @@ def link_components(docs: DataFrame, k: int, percent: int, key: str = "doc_id",
     if not 80 <= percent <= 100:
         raise ValueError("the prefixes are long enough for 80 to 100 percent")
     rows = profiles(docs, k, percent, Classes(*frequent(docs, k, text, above, limit)), key, text)
-    nodes = rows.where(F.col("sig").isNotNull()).groupBy("sig", "n").agg(F.min("doc_id").alias("node"))
+    nodes = rows.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"))
     nodes = written(nodes, "nodes")
-    posted = rows.join(nodes.select("sig", F.col("node").alias("doc_id")), ["doc_id", "sig"], "left_semi")
-    posted = posted.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("key"))
+    posted = rows.join(nodes.select("sig", "doc_id"), ["doc_id", "sig"], "left_semi").select(F.col("sig").alias("node"), "n", F.explode("keys").alias("key"))
 
     # buckets of two or more; those of single rare shingles are bounded by RARE, so a window may hold one
     rare = posted.where(F.col("key").bitwiseAND(1) == 0)
@@ -242,31 +331,40 @@ def link_components(docs: DataFrame, k: int, percent: int, key: str = "doc_id",
     paired = paired.join(heads, "key")
     buckets = written(rare.unionByName(paired).select("key", "node", "n", "first"), "buckets")
 
-    sizes = nodes.select(F.col("node").alias("first"), F.col("n").alias("m"))
-    pairs = buckets.where("node <> first").select("node", "n", "first").distinct().join(sizes, "first").where(fits(F.col("n"), F.col("m"), percent))
-    pairs = written(pairs.select(F.col("first").alias("a"), F.col("node").alias("b")), "pairs")
-    links = written(verified(pairs, written(tokens_of(docs, ends(pairs), k, key, text), "tokens"), percent), "links")
+    sets = written(rows.join(nodes.select("sig", "doc_id"), ["doc_id", "sig"], "left_semi").select("sig", "n", "bits", "m", *_Q), "sets")
+    pairs = buckets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = written(near(pairs, sets, percent), "pairs")
+    links = written(verified(pairs, written(tokens_of(docs, ends(pairs, nodes), k, key, text), "tokens"), percent), "links")
     found = written(components(links), "components")
 
     # what is still apart in a bucket: all pairs of different components
     known = buckets.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = known.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key")
-    apart = known.join(parts, "key")
-    a = apart.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    b = apart.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    more = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    apart = known.join(parts, "key").join(sets.select(F.col("sig").alias("node"), "m", *_Q), "node")
+    a, b = apart.alias("a"), apart.alias("b")
+    total = F.col("a.n") + F.col("b.n")
+    differ = sum((F.bit_count(F.col(f"a.{q}").bitwiseXOR(F.col(f"b.{q}"))) for q in _Q[1:]), F.bit_count(F.col("a.q0").bitwiseXOR(F.col("b.q0"))))
+    # a pair that meets at a pair of frequent shingles only shares no rare one
+    often = (F.col("a.key").bitwiseAND(1) == 0) | can_link(F.least("a.m", "b.m"), total, percent)
+    both = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+    more = a.join(b, both & fits(F.col("a.n"), F.col("b.n"), percent) & often & can_link(F.floor((total - differ) / 2), total, percent))
+    more = more.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    more = written(near(more, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        late = verified(more, written(tokens_of(docs, ends(more), k, key, text), "tokens"), percent)
+        late = verified(more, written(tokens_of(docs, ends(more, nodes), k, key, text), "tokens"), percent)
         found = written(components(links.unionByName(late)), "components")
 
-    named = nodes.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
-    out = rows.drop("keys").join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = nodes.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = classes.join(least, "component").select("sig", "component_id")
+    out = rows.select("doc_id", "n", "sig").join(named, "sig", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sig, doc_id of all nodes in some pairs."""
+    both = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    return nodes.select("sig", "doc_id").join(both, "sig", "left_semi")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
