@@ -33,6 +33,7 @@ from keyfold.llm.store import written
 from keyfold.llm.words import mix, seeded, shingles, words_of
 
 RARE = 12
+HEADS = 8  # components of a bucket whose first nodes all its members are held against
 TABLE = 1 << 21
 _BITS = 48
 SHORT = 8  # longs of the bitmap that candidate joins compare
@@ -337,22 +338,16 @@ def link_components(docs: DataFrame, k: int, percent: int, key: str = "doc_id",
     links = written(verified(pairs, written(tokens_of(docs, ends(pairs, nodes), k, key, text), "tokens"), percent), "links")
     found = written(components(links), "components")
 
-    # what is still apart in a bucket: all pairs of different components
-    known = buckets.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = known.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key")
-    apart = known.join(parts, "key").join(sets.select(F.col("sig").alias("node"), "m", *_Q), "node")
-    a, b = apart.alias("a"), apart.alias("b")
-    total = F.col("a.n") + F.col("b.n")
-    differ = sum((F.bit_count(F.col(f"a.{q}").bitwiseXOR(F.col(f"b.{q}"))) for q in _Q[1:]), F.bit_count(F.col("a.q0").bitwiseXOR(F.col("b.q0"))))
-    # a pair that meets at a pair of frequent shingles only shares no rare one
-    often = (F.col("a.key").bitwiseAND(1) == 0) | can_link(F.least("a.m", "b.m"), total, percent)
-    both = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-    more = a.join(b, both & fits(F.col("a.n"), F.col("b.n"), percent) & often & can_link(F.floor((total - differ) / 2), total, percent))
-    more = more.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    more = written(near(more, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        late = verified(more, written(tokens_of(docs, ends(more, nodes), k, key, text), "tokens"), percent)
-        found = written(components(links.unionByName(late)), "components")
+    # what is still apart in a bucket: first its members against the heads of a few components, then all pairs of different components
+    for heads in (HEADS, None):
+        known = buckets.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = known.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key")
+        apart = known.join(parts, "key").join(sets.select(F.col("sig").alias("node"), "m", *_Q), "node")
+        more = written(near(meeting(apart, percent, heads), sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            pairs = pairs.unionByName(more)
+            links = links.unionByName(verified(more, written(tokens_of(docs, ends(more, nodes), k, key, text), "tokens"), percent))
+            found = written(components(links), "components")
 
     classes = nodes.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -361,6 +356,24 @@ def link_components(docs: DataFrame, k: int, percent: int, key: str = "doc_id",
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def meeting(apart: DataFrame, percent: int, heads: int | None) -> DataFrame:
+    """Pairs (a < b) of different components that meet in a bucket and that sizes and short bitmaps don't rule out; with ``heads``, only
+    pairs with the first node of one of so many components of the bucket, which merges groups of copies without all their pairs."""
+    a, b = apart.alias("a"), apart.alias("b")
+    ordered = F.col("a.node") < F.col("b.node")
+    if heads is not None:
+        first = apart.groupBy("key", "component").agg(F.min_by(F.struct("node", "n", "m", *_Q), "node").alias("x"))
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("component"))).where(F.col("r") <= heads)
+        b, ordered = first.select("key", "component", "x.*").alias("b"), F.lit(True)
+    total = F.col("a.n") + F.col("b.n")
+    differ = sum((F.bit_count(F.col(f"a.{q}").bitwiseXOR(F.col(f"b.{q}"))) for q in _Q[1:]), F.bit_count(F.col("a.q0").bitwiseXOR(F.col("b.q0"))))
+    # a pair that meets at a pair of frequent shingles only shares no rare one
+    often = (F.col("a.key").bitwiseAND(1) == 0) | can_link(F.least("a.m", "b.m"), total, percent)
+    both = (F.col("a.key") == F.col("b.key")) & ordered & (F.col("a.component") != F.col("b.component"))
+    found = a.join(b, both & fits(F.col("a.n"), F.col("b.n"), percent) & often & can_link(F.floor((total - differ) / 2), total, percent))
+    return found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
 def ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """sig, doc_id of all nodes in some pairs."""
     both = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
