@@ -3,12 +3,13 @@
 Words are runs of letters and digits, in lower case, whatever stands between them.
 Fixed masks pick some word positions of a window and ignore the rest, so a window with substituted words at ignored places keeps its hash.
 Hashes of all windows of the test items meet those of all windows of the training texts; around each hit, text and item are aligned on its diagonal
-and the best stretch is found in which at least ``IDENTITY`` of the words agree. A stretch of ``LEAST`` words at least (or of the whole item, if that is
-shorter) is a leak. The test items are a stated query set: they come in blocks of bounded size, each
+and the longest stretch is found in which at least four of five words agree. A stretch of ``LEAST`` words at least (or of the whole item, if that is
+shorter) is a leak. The masks leave no such stretch without a hit: a stretch of 24 words or more has a shorter one in it, those of 12 to 23 hold one of 12 words with 2
+substitutions, 15 with 3 or 20 with 4 at most, and each way to place those leaves a mask whole. The test items are a stated query set: they come in blocks of bounded size, each
 broadcast and held against all training texts in one narrow pass, so neither a text repeated in a third of the rows nor a
 passage that all share makes a shuffle or a large group.
 
-Items shorter than a mask get an unbroken mask of their own length (from ``SHORT`` words on; shorter ones match nothing). Null and empty texts
+Items under ``LEAST`` words have masks for their length, which do the same for the whole item (from ``SHORT`` words on; shorter ones match nothing). Null and empty texts
 match nothing; repeated rows match alike; ids may repeat.
 """
 
@@ -26,11 +27,21 @@ from pyspark.sql.types import LongType, StructField, StructType
 from keyfold.llm.store import as_rows, from_rows
 from keyfold.llm.words import ALNUM, mix, seeded, words_of
 
-#: 1: the position counts. Windows of 12 words; any two substitutions leave one of the masks whole at some place of a longer passage.
-MASKS = ("110110101101", "111001101011", "101011011011")
-IDENTITY = 0.8
+#: 1: the position counts. Every choice of 2 of 12, 3 of 15 and 4 of 20 words leaves one of the masks whole at some place.
+MASKS = ("11110111", "1100101111", "11011001011", "1111111", "110100101011", "11100010111", "111010100011")
+#: For items of so many words: every choice of a fifth of them, rounded down, leaves one of the masks whole.
+SHORT_MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("11111", "111101", "111011", "110111", "101111"),
+    7: ("11111", "111011", "110111"),
+    8: ("111111", "1111011", "1101111"),
+    9: ("1111011", "1101111"),
+    10: ("1111011", "11001111", "110110011", "11110101", "10101111"),
+    11: ("1110111", "111001011", "1011111", "111111"),
+}
+SAME, OF = 4, 5  # so many of so many words agree, at least
 LEAST = 12
-SHORT = 5
+SHORT = min(SHORT_MASKS)
 BLOCK_WORDS = 1 << 19  # words of test items at once
 _FILTER_BITS = 22
 _MULT = seeded(64, 4242)
@@ -57,8 +68,10 @@ class Items:
     def __init__(self, ids: list, h: np.ndarray, off: np.ndarray):
         self.ids, self.h, self.off = ids, h, off
         size = np.diff(off)
-        spans = {len(m) for m in MASKS}
-        self.masks = {m: size >= len(m) for m in MASKS} | {"1" * int(n): size == n for n in np.unique(size) if SHORT <= n < min(spans)}
+        self.masks = {m: size >= LEAST for m in MASKS}
+        for n in np.unique(size[(size >= SHORT) & (size < LEAST)]):
+            for m in SHORT_MASKS[int(n)]:
+                self.masks[m] = self.masks.get(m, False) | (size == n)
         self.seeds = {}
         for m, use in self.masks.items():
             value, at = seeds(h, off, m)
@@ -86,18 +99,24 @@ class Items:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def leak(self, doc: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
-        """(first word in the text, in the item, words, agreeing words) of the best stretch on a diagonal, if it is long enough."""
+        """(first word in the text, in the item, words, agreeing words) of the longest stretch on a diagonal, if it is long enough."""
         own = self.h[self.off[item] : self.off[item + 1]]
         a, b = max(0, -diagonal), min(len(own), len(doc) - diagonal)
-        same = own[a:b] == doc[a + diagonal : b + diagonal]
-        gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - IDENTITY, -IDENTITY))])
-        low = np.minimum.accumulate(gain)
-        end = int(np.argmax(gain - low))
-        if not end:
+        least = min(LEAST, len(own))
+        if b - a < least:
             return None
-        begin = int(np.flatnonzero(gain[: end + 1] == low[end])[0])
-        if end - begin < min(LEAST, len(own)):
+        same = own[a:b] == doc[a + diagonal : b + diagonal]
+        gain = np.concatenate([[0], np.cumsum(np.where(same, OF - SAME, -SAME))])
+        above = np.maximum.accumulate(gain[::-1])  # the greatest gain from the end down to each place
+        ends = len(gain) - 1 - np.searchsorted(above, gain)  # the last place with no less gain than each
+        begin = int(np.argmax(ends - np.arange(len(gain))))
+        end = int(ends[begin])
+        if end - begin < least:
             return None
+        while end - begin > least and not same[end - 1]:
+            end -= 1
+        while end - begin > least and not same[begin]:
+            begin += 1
         return a + begin + diagonal, a + begin, end - begin, int(same[begin:end].sum())
 
 

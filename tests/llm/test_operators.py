@@ -336,6 +336,34 @@ def test_items_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id, r.doc_word, r.item_word, r.n_words) for r in got) == [(i, i, 2, 0, 20) for i in range(9)]
 
 
+def test_any_stretch_with_four_fifths_leaks(spark):
+    """Every way to substitute a fifth of short items, and the same of some places in longer ones; one word more is no leak."""
+    rng = random.Random(8)
+    items, docs, want = [], [], set()
+
+    def put(n, places, leak):
+        words = [f"i{len(items)}x{j}" for j in range(n)]
+        text = [f"other{j}" if j in places else w for j, w in enumerate(words)]
+        if leak:
+            want.add(len(items))
+        docs.append((len(items), f"before it {' '.join(text)} after it"))
+        items.append((len(items), " ".join(words)))
+
+    put(16, {3, 12}, True)
+    for n, k in ((5, 1), (6, 1), (7, 1), (8, 1), (9, 1), (10, 2), (11, 2), (12, 2), (15, 3)):
+        for places in itertools.combinations(range(n), k):
+            put(n, places, True)
+    for n, k in ((18, 3), (20, 4), (24, 4), (30, 6), (60, 12)):
+        for _ in range(60):
+            put(n, set(rng.sample(range(n), k)), True)
+    for n, k in ((5, 2), (9, 2), (11, 3), (12, 3)):
+        for places in itertools.combinations(range(n), k):
+            put(n, places, False)
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.item_id for r in got} == want and all(r.doc_id == r.item_id for r in got)
+    assert all(5 * r.n_same >= 4 * r.n_words for r in got)
+
+
 # ---- 7
 
 
