@@ -243,6 +243,32 @@ def test_toxicity_on_awkward_tables(spark, docs, labels, empty):
     assert (none["score"] == 0.5).all()
 
 
+def test_nothing_is_toxic_without_both_classes(spark, docs, labels):
+    for lab in (labels.where("false"), labels.withColumn("toxic", F.lit(None).cast("int")), labels.withColumn("toxic", F.lit(1)), labels.withColumn("toxic", F.lit(0))):
+        assert toxicity.without_toxic(docs, lab).count() == docs.count()
+        out = toxicity.toxicity_report(docs, lab).toPandas()
+        assert not out["toxic"].any() and not out["predicted"].any()
+
+
+def test_few_labels_of_one_class_first(spark):
+    """However the ids' hashes fall, a model isn't learnt from one class alone."""
+    docs = spark.createDataFrame([(i, f"{'vileword' if i % 5 == 0 else 'fine'} text {i}", "en", "s", 1) for i in range(40)], DOCS)
+    for ids in itertools.combinations((0, 1, 5, 10), 2):
+        lab = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in ids], "doc_id long, quality int, toxic int")
+        m = toxicity.fit(docs, lab)
+        assert (m.threshold > 1) == (1 not in ids) and (m.out.any() or m.threshold > 1)
+        if 1 not in ids:
+            assert toxicity.without_toxic(docs, lab).count() == 40
+
+
+def test_large_rows_do_not_end_the_sample(spark):
+    texts = ["x " * 3000 if i < 30 else "y " * 700 if i < 35 else f"small {i}" for i in range(80)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    lab = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    got = [t for t, _, _ in toxicity.sample(docs, lab, F.lit(True), most=4000)]
+    assert sorted(t for t in got if t.startswith("small")) == sorted(texts[35:]) and sum(t.startswith("y") for t in got) == 2 and len(got) == 47
+
+
 def test_pooling_is_the_maximum():
     r = np.random.default_rng(0)
     e, off = r.normal(size=(20, 3)).astype(np.float32), np.array([0, 0, 1, 3, 11, 20])
