@@ -9,7 +9,7 @@ stand, word for word, in the text within a template's length around the window.
 
 A text's windows are generated and filtered within one stage, beside its words, so the few candidates bring along all that their verification reads: one
 narrow pass without a join of texts. Only reports meet, by (doc_id, template). Templates come in blocks of
-bounded size. Templates with fewer than five words match nothing. Null and empty texts have no windows; rows with
+bounded size. A template of fewer than five words is one shingle by itself: its word sequence must stand in the text. Null and empty texts have no windows; rows with
 equal ids count as one document; extra columns are not read.
 """
 
@@ -25,7 +25,8 @@ BANDS = 12
 CONTAINED = 0.8
 BLOCK = 200  # templates at once
 
-#: Short notices by which texts declare their licence.
+#: Notices by which texts declare their licence, standard headers, the bodies of short licences, and passages that only one long licence has (its
+#: header or appendix among them). Wordings of one licence share its id. Names and versions stand where a text of a sibling falls under CONTAINED.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -33,6 +34,60 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("All-rights-reserved", "All rights reserved."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Distributed under the MIT License."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-4.0", "terms and conditions of this Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    *(
+        (f"{short}-{version}", f"under the terms of the GNU {name} as published by the Free Software Foundation, either version {version.removesuffix('.0')} of the License")
+        for short, name, version in (
+            ("GPL", "General Public License", "2.0"),
+            ("GPL", "General Public License", "3.0"),
+            ("LGPL", "Lesser General Public License", "2.1"),
+            ("LGPL", "Lesser General Public License", "3.0"),
+            ("AGPL", "Affero General Public License", "3.0"),
+        )
+    ),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    (
+        "Apache-2.0",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to "
+        "reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice "
+        "appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+        "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    # what all BSD licences share; the clause that only the one of three has
+    (
+        "BSD",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    ("BSD-3-Clause", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 ]
 
 
@@ -64,7 +119,7 @@ def shingles(w: Column) -> Column:
 
 
 def template_windows(templates: DataFrame) -> DataFrame:
-    """template_id, shingles, n_words, bands: a row for each window start of each template."""
+    """template_id, shingles, n_words, bands (templates of SHINGLE words at least): a row for each window start of each template."""
     t = templates.select("template_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
     t = t.select("template_id", shingles(F.col("w")).alias("shingles"), F.size("w").alias("n_words"), F.explode(windows(F.col("w"), 1)).alias("x"))
     return t.select("template_id", "shingles", "n_words", F.array(*bands(F.col("x"))).alias("bands"))
@@ -82,6 +137,27 @@ def scan(docs: DataFrame, templates: DataFrame, contained: float = CONTAINED) ->
 
 
 def _scan_block(docs: DataFrame, templates: DataFrame, contained: float) -> DataFrame | None:
+    parts = [x for x in (_scan_long(docs, templates, contained), _scan_short(docs, templates)) if x is not None]
+    if not parts:
+        return None
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return found.groupBy("doc_id", "template_id").agg(F.min("start").cast("long").alias("first_word"), F.max("containment").alias("containment"))
+
+
+def _scan_short(docs: DataFrame, templates: DataFrame) -> DataFrame | None:
+    """doc_id, template_id, start, containment of templates under SHINGLE words: their whole sequences."""
+    known = templates.select("template_id", words(F.col("text")).alias("w")).where((F.size("w") > 0) & (F.size("w") < SHINGLE)).distinct().collect()
+    if not known:
+        return None
+    rows = docs.select("doc_id", F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")).alias("t"))
+    at = [F.struct(F.lit(r["template_id"]).alias("template_id"), F.instr("t", f" {' '.join(r['w'])} ").alias("at")) for r in sorted(known)]
+    rows = rows.select("doc_id", "t", F.explode(F.filter(F.array(*at), lambda x: x["at"] > 0)).alias("x"))
+    before = F.substring(F.col("t"), F.lit(1), F.col("x.at") - F.lit(1))
+    return rows.select("doc_id", "x.template_id", (F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))).alias("start"), F.lit(1.0).alias("containment"))
+
+
+def _scan_long(docs: DataFrame, templates: DataFrame, contained: float) -> DataFrame | None:
+    """doc_id, template_id, start, containment by windows."""
     own = template_windows(templates)
     known = own.collect()  # a block: bounded
     if not known:
@@ -89,8 +165,8 @@ def _scan_block(docs: DataFrame, templates: DataFrame, contained: float) -> Data
     longest = max(r["n_words"] for r in known)
     sets = [sorted({r["bands"][k] for r in known}) for k in range(BANDS)]
     by_band = docs.sparkSession.createDataFrame(
-        [(k, v, t, list(s)) for k, v, t, s in sorted({(k, r["bands"][k], r["template_id"], tuple(r["shingles"])) for r in known for k in range(BANDS)})],
-        "band int, value long, template_id string, shingles array<string>",
+        [(k, v, t, list(s), n, list(b)) for k, v, t, s, n, b in sorted({(k, r["bands"][k], r["template_id"], tuple(r["shingles"]), r["n_words"], tuple(r["bands"])) for r in known for k in range(BANDS)})],
+        "band int, value long, template_id string, shingles array<string>, n_words int, own array<bigint>",
     )
     rows = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
     rows = rows.select("doc_id", "w", F.explode(windows(F.col("w"), STRIDE)).alias("x"))
@@ -100,11 +176,13 @@ def _scan_block(docs: DataFrame, templates: DataFrame, contained: float) -> Data
         hit = hit | mine[k].isin(sets[k])
     rows = rows.where(hit).select("doc_id", "w", F.col("x.start").alias("start"), F.array(*mine).alias("bands"))
     near = F.slice(F.col("w"), F.greatest(F.col("start") - F.lit(longest), F.lit(0)) + F.lit(1), F.lit(WINDOW + 2 * longest))
-    found = rows.select("doc_id", "start", near.alias("near"), F.posexplode("bands").alias("band", "value"))
+    found = rows.select("doc_id", "start", "bands", near.alias("near"), F.posexplode("bands").alias("band", "value"))
     found = found.join(F.broadcast(by_band), ["band", "value"])  # a block: bounded
+    found = found.where(F.array_position(F.zip_with("bands", "own", lambda a, b: a == b), F.lit(True)) == F.col("band") + F.lit(1))  # two windows meet once
+    around = F.greatest(F.least(F.col("start"), F.lit(longest)) - F.col("n_words"), F.lit(0)) + F.lit(1)
+    found = found.withColumn("near", F.slice("near", around, F.lit(WINDOW) + F.lit(2) * F.col("n_words")))
     share = F.size(F.array_intersect(shingles(F.col("near")), F.col("shingles"))) / F.size("shingles")
-    found = found.withColumn("containment", share).where(F.col("containment") >= F.lit(contained))
-    return found.groupBy("doc_id", "template_id").agg(F.min("start").cast("long").alias("first_word"), F.max("containment").alias("containment"))
+    return found.select("doc_id", "template_id", "start", share.alias("containment")).where(F.col("containment") >= F.lit(contained))
 
 
 def default_templates(spark: SparkSession) -> DataFrame:

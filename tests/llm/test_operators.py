@@ -406,6 +406,31 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan(docs, spark.createDataFrame([("x", "too short"), (None, "y")], "template_id string, text string")).isEmpty()
 
 
+def test_licence_bodies_and_short_notices(spark):
+    body = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and t.startswith("Permission"))
+    bsd = next(t for n, t in license_scan.TEMPLATES if n == "BSD")
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    texts = {
+        1: ("(c) 2020 A. Author\n\n" + body, {"MIT"}),
+        2: ("x " * 500 + body.replace("persons", "people").replace("AUTHORS", "MAKERS") + " y" * 500, {"MIT"}),
+        3: (body[: len(body) // 2], set()),
+        4: ("Some text. This software is licensed under the MIT License.", {"MIT"}),
+        5: ("(c) Them. ALL RIGHTS\n reserved", {"All-rights-reserved"}),
+        6: ("overall rights reserved, all rights are reserved", set()),
+        7: ("one two // SPDX-License-Identifier: MIT", {"MIT"}),
+        8: (f"All rights reserved. {bsd} Neither the name of the Firm nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", {"All-rights-reserved", "BSD", "BSD-3-Clause"}),
+        9: (gpl.format("", 2), {"GPL-2.0"}),
+        10: (gpl.format("", 3), {"GPL-3.0"}),
+        11: (gpl.format("Lesser ", "2.1"), {"LGPL-2.1"}),
+        12: (gpl.format("Affero ", 3), {"AGPL-3.0"}),
+        13: ("A Creative Commons word: this work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", {"CC-BY-NC-4.0"}),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    got = license_scan.scan(df, license_scan.default_templates(spark)).collect()
+    assert {(r.doc_id, r.template_id) for r in got} == {(i, n) for i, (_, names) in texts.items() for n in names}
+    assert {r.doc_id: r.first_word for r in got if r.doc_id in (5, 7)} == {5: 2, 7: 2}
+
+
 def test_edited_notice(spark):
     text = "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in it without restriction and so on"
     t = spark.createDataFrame([("P", text)], "template_id string, text string")
