@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.store import written
+from keyfold.llm.store import discard, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = written(small, "edges")
+        now, old = written(small, "edges"), now
+        discard(old)
         state = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -3,42 +3,50 @@
 A text is the set of its distinct k-word shingles; two link when 100 * intersection >= percent * union. Rows with equal sets form one node from the start.
 Shingles are ordered globally, rare ones first. Two linked sets share their first common shingle within the prefix of either. If it
 is rare, both are indexed by it alone. If it is frequent, all common shingles are: then either set has at most a known number
-of frequent shingles that the other lacks, and in prefixes extended far enough two neighbours in the one are neighbours in the other: so sets whose
-rare shingles are few enough are indexed by each pair of neighbouring frequent shingles of the extended prefix.
-A set gets no more keys than it has shingles, and a key of a frequent class needs both shingles, which only copies share.
+of frequent shingles that the other lacks, which part the common ones into at most so many runs and one more. Prefixes are extended until they hold so many common
+shingles that one run has as many as a combination needs, so sets whose rare shingles are few enough are indexed by combinations of neighbouring frequent shingles:
+of two from a frequent shingle on, of three from one that more than ``CROWDED`` texts have (where ``percent`` allows prefixes so long: from 88).
+A set gets no more keys than it has shingles, and a key of a frequent class needs all its shingles, which only copies share.
 
 Most candidates only share a passage. A parity bitmap of each set, of one to two bits a shingle, shows that exactly: two sets differ in at least as many shingles as
 their bitmaps do in bits. Only pairs that this bound lets through move their sets.
 
 Frequency classes come from counts over all texts: shingles in more than ``RARE`` texts are frequent (the most frequent ``TABLE``, if there are more, which changes
-costs only). Candidates are verified by exact intersection, in two rounds: every member of a bucket against the bucket's first member; then, in buckets that still
-hold several components, all pairs of different components. So every link between components is found, but no group of copies expands into its pairs.
+costs only). Candidates are verified by exact intersection, in two rounds: every member of a bucket against the bucket's ``HEADS`` heads (the least members by as many hashes);
+then, in buckets that still hold several components, what is outside the largest one against all of other components. A pair comes through at the least key
+that both share among their least keys, so near copies, which share most keys, meet once. So every link between components is found, but no group of copies expands into its pairs.
 
-Null and empty texts have no set and are a class of their own row. Texts with fewer than k words have one shingle. Rows with equal ids
-count as one text if their sets are equal; rows without an id link to nothing and have no class. An empty table gives an empty result.
+Null and empty texts have no set and are a class of their own row. Texts with fewer than k words have one shingle; texts of any length are taken whole. Rows that repeat a set
+(with equal ids or not) are one node; rows with equal ids and different sets are nodes of their own. Rows without an id link to nothing and have no class. An empty table gives
+an empty result. Only the key and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from keyfold.llm.components import components
-from keyfold.llm.store import written
+from keyfold.llm.store import as_rows, discard, from_rows, written
 from keyfold.llm.words import mix, seeded, shingles, words_of
 
 RARE = 12
-HEADS = 8  # components of a bucket whose first nodes all its members are held against
+CROWDED = 256  # texts from which a shingle is indexed in threes
+HEADS = 3  # members of a bucket that all others are held against
+LOW = 8  # least keys of a set by which a pair's first meeting is told
 TABLE = 1 << 21
 _BITS = 48
 SHORT = 8  # longs of the bitmap that candidate joins compare
 _Q = [f"q{i}" for i in range(SHORT)]
-_MULT = seeded(2, 31337)
+_MULT = seeded(3, 31337)
+_TOP = np.uint64(1 << 63)
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -74,8 +82,8 @@ def unpack_ascending(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps), n
 
 
-def frequent(docs: DataFrame, k: int, text: str, above: int = RARE, limit: int = TABLE) -> tuple[int, np.ndarray, np.ndarray]:
-    """(bits, shingles, rank by number of texts) of the shingles in more than ``above`` texts, ascending; counted over all texts.
+def frequent(docs: DataFrame, k: int, text: str, above: int = RARE, limit: int = TABLE) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(bits, shingles, rank by number of texts, numbers) of the shingles in more than ``above`` texts, ascending; counted over all texts.
 
     Shingles count by their leading bits, 2**30 values for each shuffle partition: few share a value, and those only seem more frequent than they are.
     Tasks hand on sorted runs by range of shingles, each range is merged by one task, and there are as many ranges as keep them small.
@@ -128,7 +136,8 @@ def frequent(docs: DataFrame, k: int, text: str, above: int = RARE, limit: int =
     x, n = x[order], n[order]
     rank = np.empty(len(x), np.int64)
     rank[np.lexsort((x, n))] = np.arange(len(x))
-    return bits, x, rank
+    discard(found)
+    return bits, x, rank, n
 
 
 # ---- keys
@@ -139,11 +148,17 @@ def slack(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100)
 
 
+def longest(percent: int) -> int:
+    """How many shingles a combination may have: linked sets have so many in common that one run of neighbours is as long."""
+    return 3 if percent >= 88 else 2
+
+
 class Classes:
     """The frequent shingles with a bit table before them."""
 
-    def __init__(self, bits: int, x: np.ndarray, rank: np.ndarray):
+    def __init__(self, bits: int, x: np.ndarray, rank: np.ndarray, n: np.ndarray, crowded: int = CROWDED):
         self.cut, self.x, self.rank = np.uint64(_BITS - bits), x, rank
+        self.crowded = int((n <= crowded).sum())  # the rank of the first crowded one
         self.near = np.zeros(1 << 22, bool)
         self.near[x >> np.uint64(bits - 22)] = True
 
@@ -160,7 +175,7 @@ class Classes:
 
 
 def index_keys(tokens: np.ndarray, off: np.ndarray, classes: Classes, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, row of each, frequent shingles of each row). Odd keys are pairs of neighbouring frequent shingles, even ones single rare shingles."""
+    """(keys, row of each, frequent shingles of each row). Single rare shingles have the highest bit set (negative as longs), combinations have not."""
     n = np.diff(off)
     row = np.repeat(np.arange(len(n)), n)
     rank = classes.ranks(tokens)
@@ -169,19 +184,27 @@ def index_keys(tokens: np.ndarray, off: np.ndarray, classes: Classes, percent: i
     lacks = slack(n, percent)
     place = np.arange(len(rare)) - np.repeat(np.cumsum(rares) - rares, rares)
     use = rare[place <= lacks[row[rare]]]
-    keys, rows = [mix(tokens[use]) & ~np.uint64(1)], [row[use]]
+    keys, rows = [mix(tokens[use]) | _TOP], [row[use]]
     left = lacks - rares  # frequent shingles that a linked set may lack, where no rare one is shared
     open_ = (rank >= 0) & (left >= 0)[row]
     if open_.any():
         own, rank, token = row[open_], rank[open_], tokens[open_]
         by = np.lexsort((token, rank, own))
-        own, order = own[by], token[by]
+        own, rank, order = own[by], rank[by], token[by]
         many = np.bincount(own, minlength=len(n))
         place = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-        length = 2 * left + n * (100 - percent) // percent + 2
-        pair = np.flatnonzero((own[:-1] == own[1:]) & (place[1:] < length[own[1:]]))
-        keys.append(mix(order[pair] * _MULT[0] + order[pair + 1] * _MULT[1]) | np.uint64(1))
-        rows.append(own[pair])
+        size = np.where((rank >= classes.crowded) & (longest(percent) > 2), 3, 2)
+        most = np.full(len(n), 2)
+        most[own[size == 3]] = 3
+        runs = left + n * (100 - percent) // percent + 1
+        length = (most - 1) * runs + 1 + left
+        end = np.minimum(np.arange(len(own)) + size - 1, len(own) - 1)
+        first = np.flatnonzero((np.arange(len(own)) + size <= len(own)) & (own == own[end]) & (place[end] < length[own]))
+        value = order[first] * _MULT[0] + order[first + 1] * _MULT[1]
+        three = size[first] == 3
+        value[three] += order[first[three] + 2] * _MULT[2]
+        keys.append(mix(value) & ~_TOP)
+        rows.append(own[first])
     return np.concatenate(keys), np.concatenate(rows), n - rares
 
 
@@ -224,20 +247,30 @@ def bits_apart(a: bytes, b: bytes) -> int:
 
 
 def profiles(docs: DataFrame, k: int, percent: int, classes: Classes, key: str, text: str) -> DataFrame:
-    """doc_id, n (shingles), m (frequent ones), sig (of the set), bits, q0, q1, ..., keys of every row; one narrow pass, written."""
+    """doc_id, mark (hash of the text), uid, n (shingles), m (frequent ones), sig (of the set), bits, q0, q1, ..., keys, low (the least of them) of every row; one narrow pass, written."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 36
         for b in batches:
-            for lo, hi, x, off in sets_of(b.column(1), k):
+            for lo, hi, x, off in sets_of(b.column(2), k):
                 n, sig = np.diff(off), signatures(x, off)
                 keys, row, m = index_keys(x, off, sent.value, percent)
-                order = np.argsort(row, kind="stable")
-                edge = np.searchsorted(row[order], np.arange(hi - lo + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(keys[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sig, mask=n == 0), pa.array(parity_bits(x, off), pa.binary()), pa.array(m), *short_bits(x, off), lists], names=["doc_id", "n", "sig", "bits", "m", *_Q, "keys"])
-
-    return written(docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, f"doc_id long, n long, sig long, bits binary, m long, {', '.join(f'{q} long' for q in _Q)}, keys array<bigint>"), "profiles")
+                keys = keys.view(np.int64)
+                order = np.lexsort((keys, row))
+                keys, edge = keys[order], np.searchsorted(row[order], np.arange(hi - lo + 1))
+                few = np.minimum(np.diff(edge), LOW)
+                least = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + np.repeat(edge[:-1], few)
+                lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(keys))
+                low = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32)), pa.array(keys[least]))
+                cols = [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(uid + np.arange(hi - lo)), pa.array(n), pa.array(sig, mask=n == 0), pa.array(parity_bits(x, off), pa.binary()), pa.array(m)]
+                uid += hi - lo
+                yield pa.RecordBatch.from_arrays([*cols, *short_bits(x, off), lists, low], names=["doc_id", "mark", "uid", "n", "sig", "bits", "m", *_Q, "keys", "low"])
+
+    schema = f"doc_id long, mark long, uid long, n long, sig long, bits binary, m long, {', '.join(f'{q} long' for q in _Q)}, keys array<bigint>, low array<bigint>"
+    out = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text).mapInArrow(run, schema), "profiles")
+    sent.destroy()
+    return out
 
 
 # ---- candidates and links
@@ -265,8 +298,8 @@ def bit_table(nodes: DataFrame) -> np.ndarray:
 
 
 def tokens_of(docs: DataFrame, nodes: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """sig, tokens of the texts named in ``nodes`` (sig, doc_id). A bit table of fixed size picks their texts in place, so no texts move, only sets; a join
-    then drops the few that it lets through besides."""
+    """sig, tokens of the texts named in ``nodes`` (sig, doc_id), written. A bit table of fixed size picks their texts in place, so no texts move, only sets; a join
+    then drops the few that it lets through besides, and an aggregate the repeats."""
     sent = docs.sparkSession.sparkContext.broadcast(bit_table(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +311,9 @@ def tokens_of(docs: DataFrame, nodes: DataFrame, k: int, key: str, text: str) ->
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(signatures(x, off)), lists], names=["doc_id", "sig", "tokens"])
 
     some = docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, sig long, tokens array<bigint>")
-    return some.join(nodes, ["doc_id", "sig"], "left_semi").select("sig", "tokens")
+    out = written(some.join(nodes, ["doc_id", "sig"], "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens")), "tokens")
+    sent.destroy()
+    return out
 
 
 def fits(n: Column, m: Column, percent: int) -> Column:
@@ -314,63 +349,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def link_components(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text", above: int = RARE, limit: int = TABLE) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
+class Linked(NamedTuple):
+    rows: DataFrame  # doc_id, mark, n, sig of every row
+    classes: DataFrame  # sig, doc_id (the least with this set), component
+
+
+def linked(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text", above: int = RARE, limit: int = TABLE, crowded: int = CROWDED) -> Linked:
+    """The classes of equal and linked sets."""
     if not 80 <= percent <= 100:
         raise ValueError("the prefixes are long enough for 80 to 100 percent")
-    rows = profiles(docs, k, percent, Classes(*frequent(docs, k, text, above, limit)), key, text)
-    nodes = rows.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"))
-    nodes = written(nodes, "nodes")
-    posted = rows.join(nodes.select("sig", "doc_id"), ["doc_id", "sig"], "left_semi").select(F.col("sig").alias("node"), "n", F.explode("keys").alias("key"))
-
-    # buckets of two or more; those of single rare shingles are bounded by RARE, so a window may hold one
-    rare = posted.where(F.col("key").bitwiseAND(1) == 0)
+    rows = profiles(docs, k, percent, Classes(*frequent(docs, k, text, above, limit), crowded), key, text)
+    nodes = rows.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sig", "n").agg(F.min(F.struct("doc_id", "uid")).alias("x"))
+    nodes = written(nodes.select("sig", "n", "x.*"), "nodes")
+    of_nodes = rows.join(nodes.select("uid"), "uid", "left_semi")  # a row for each set
+    sets = written(of_nodes.select("sig", "n", "bits", "m", "low", *_Q), "sets")
+    buckets = written(shared_keys(of_nodes.select(F.col("sig").alias("node"), F.explode("keys").alias("key"))), "buckets")
+
+    met = buckets.select("node", F.explode(F.array_distinct("heads")).alias("head")).where("node <> head")
+    pairs = written(near(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), sets, percent), "pairs")
+    links = written(verified(pairs, tokens_of(docs, ends(pairs, nodes), k, key, text), percent), "links")
+    found = components(links)
+    classes = nodes.select("sig", "doc_id").join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    classes = written(classes, "classes")
+
+    apart = written(still_apart(buckets, classes, sets), "apart")
+    more = written(near(meeting(apart, percent), sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = written(verified(more, tokens_of(docs, ends(more, nodes), k, key, text), percent), "links")
+    if not links.isEmpty():  # links between components
+        for end in ("a", "b"):
+            links = links.join(classes.select(F.col("sig").alias(end), F.col("component").alias(f"_{end}")), end)
+        merged = components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        classes = written(classes.join(merged, "component", "left").select("sig", "doc_id", F.coalesce("_to", "component").alias("component")), "classes")
+    discard(sets, buckets, pairs, apart, more, nodes)
+    return Linked(rows.select("doc_id", "mark", "n", "sig"), classes)
+
+
+def shared_keys(posted: DataFrame) -> DataFrame:
+    """key, node, heads of the keys that two sets or more have. Keys of rare shingles have few sets, so a window may hold one; others get their heads by a combining aggregate."""
+    heads = F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(HEADS)))
     group = Window.partitionBy("key")
-    rare = rare.withColumns({"size": F.count("*").over(group), "first": F.min("node").over(group)}).where("size > 1")
-    paired = posted.where(F.col("key").bitwiseAND(1) == 1)
-    heads = paired.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
-    paired = paired.join(heads, "key")
-    buckets = written(rare.unionByName(paired).select("key", "node", "n", "first"), "buckets")
-
-    sets = written(rows.join(nodes.select("sig", "doc_id"), ["doc_id", "sig"], "left_semi").select("sig", "n", "bits", "m", *_Q), "sets")
-    pairs = buckets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = written(near(pairs, sets, percent), "pairs")
-    links = written(verified(pairs, written(tokens_of(docs, ends(pairs, nodes), k, key, text), "tokens"), percent), "links")
-    found = written(components(links), "components")
-
-    # what is still apart in a bucket: first its members against the heads of a few components, then all pairs of different components
-    for heads in (HEADS, None):
-        known = buckets.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = known.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key")
-        apart = known.join(parts, "key").join(sets.select(F.col("sig").alias("node"), "m", *_Q), "node")
-        more = written(near(meeting(apart, percent, heads), sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            pairs = pairs.unionByName(more)
-            links = links.unionByName(verified(more, written(tokens_of(docs, ends(more, nodes), k, key, text), "tokens"), percent))
-            found = written(components(links), "components")
-
-    classes = nodes.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = classes.join(least, "component").select("sig", "component_id")
-    out = rows.select("doc_id", "n", "sig").join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def meeting(apart: DataFrame, percent: int, heads: int | None) -> DataFrame:
-    """Pairs (a < b) of different components that meet in a bucket and that sizes and short bitmaps don't rule out; with ``heads``, only
-    pairs with the first node of one of so many components of the bucket, which merges groups of copies without all their pairs."""
-    a, b = apart.alias("a"), apart.alias("b")
-    ordered = F.col("a.node") < F.col("b.node")
-    if heads is not None:
-        first = apart.groupBy("key", "component").agg(F.min_by(F.struct("node", "n", "m", *_Q), "node").alias("x"))
-        first = first.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("component"))).where(F.col("r") <= heads)
-        b, ordered = first.select("key", "component", "x.*").alias("b"), F.lit(True)
+    own = F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))).over(group) for i in range(HEADS)))
+    rare = posted.where("key < 0").withColumn("size", F.count("*").over(group)).withColumn("heads", own).where("size > 1")
+    often = posted.where("key >= 0")
+    crowd = often.groupBy("key").agg(F.count("*").alias("size"), heads.alias("heads")).where("size > 1")
+    return rare.select("key", "node", "heads").unionByName(often.join(crowd, "key").select("key", "node", "heads"))
+
+
+def still_apart(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The buckets that hold several components: key, node, component, main (the bucket's largest component), with what rules pairs out."""
+    known = buckets.select("key", "node").join(classes.select(F.col("sig").alias("node"), "component"), "node")
+    parts = known.groupBy("key", "component").agg(F.count("*").alias("size"))
+    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    return known.join(parts, "key").join(sets.select(F.col("sig").alias("node"), "n", "m", "low", *_Q), "node")
+
+
+def meeting(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components that meet in a bucket and that sizes and short bitmaps don't rule out."""
+    a, b = apart.where("component <> main").alias("a"), apart.alias("b")
     total = F.col("a.n") + F.col("b.n")
     differ = sum((F.bit_count(F.col(f"a.{q}").bitwiseXOR(F.col(f"b.{q}"))) for q in _Q[1:]), F.bit_count(F.col("a.q0").bitwiseXOR(F.col("b.q0"))))
-    # a pair that meets at a pair of frequent shingles only shares no rare one
-    often = (F.col("a.key").bitwiseAND(1) == 0) | can_link(F.least("a.m", "b.m"), total, percent)
-    both = (F.col("a.key") == F.col("b.key")) & ordered & (F.col("a.component") != F.col("b.component"))
-    found = a.join(b, both & fits(F.col("a.n"), F.col("b.n"), percent) & often & can_link(F.floor((total - differ) / 2), total, percent))
+    once = (F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    both = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once
+    # a linked pair that shares no rare key shares no rare shingle
+    often = (F.col("a.key") < 0) | can_link(F.least("a.m", "b.m"), total, percent)
+    first = F.coalesce(F.array_min(F.array_intersect("a.low", "b.low")), F.col("a.key")) >= F.col("a.key")
+    found = a.join(b, both & fits(F.col("a.n"), F.col("b.n"), percent) & often & can_link(F.floor((total - differ) / 2), total, percent) & first)
     return found.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
@@ -380,8 +423,31 @@ def ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("sig", "doc_id").join(both, "sig", "left_semi")
 
 
+def link_components(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text", above: int = RARE, limit: int = TABLE, crowded: int = CROWDED) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
+    rows, classes = linked(docs, k, percent, key, text, above, limit, crowded)
+    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = classes.join(least, "component").select("sig", "component_id")
+    alone = F.col("sig").isNull() | F.col("doc_id").isNull()
+    out = rows.where(~alone).join(named, "sig").unionByName(rows.where(alone).withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each class: that with the smallest doc_id. Rows without a doc_id stay."""
-    found = link_components(docs, k, percent)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` with one row of each class: that with the smallest doc_id (and then text hash). Rows without a doc_id or without words stay, repeats of them too.
+
+    Rows are told by doc_id and text, so an id that comes with several texts loses only those that have copies.
+    """
+    rows, classes = linked(docs, k, percent)
+    rows = rows.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id", "mark", "sig").agg(F.count("*").alias("times"))
+    rows = rows.join(classes.select("sig", "component"), "sig")
+    kept = rows.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("kept"))
+    rows = written(rows.join(kept, "component").select(F.struct("doc_id", "mark").alias("own"), "kept", "times").where("own <> kept OR times > 1"), "copies")
+    gone = rows.where("own <> kept").select("own.*").withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    again = rows.where("own = kept").select("own.*").withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    marked = as_rows(docs)
+    marked = marked.select("row", F.col("row.doc_id").cast("long").alias("_id"), F.xxhash64("row.text").alias("_mark"))
+    left = marked.join(gone, ["_id", "_mark"], "left_anti")
+    if not again.isEmpty():  # repeats of a row that is to stay: one of them does
+        left = left.join(again, ["_id", "_mark"], "left_anti").unionByName(marked.join(again, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]))
+    return from_rows(left.select("row"))

@@ -536,8 +536,8 @@ def brute_classes(rows, k, percent):
     return {i: (len(s[i]), find(i)) for i in s}
 
 
-@pytest.mark.parametrize("k, percent, above, limit", [(3, 90, 12, 1 << 21), (3, 90, 1, 1 << 21), (5, 80, 2, 1 << 21), (2, 80, 0, 1 << 21), (3, 85, 1, 20)])
-def test_jaccard_classes(spark, docs, k, percent, above, limit):
+@pytest.mark.parametrize("k, percent, above, limit, crowded", [(3, 90, 12, 1 << 21, 256), (3, 90, 1, 1 << 21, 4), (5, 80, 2, 1 << 21, 4), (2, 88, 0, 1 << 21, 1), (3, 85, 1, 20, 20)])
+def test_jaccard_classes(spark, docs, k, percent, above, limit, crowded):
     r = random.Random(11)
     base = " ".join(f"b{j}" for j in range(60)).split()
     near = []
@@ -547,7 +547,7 @@ def test_jaccard_classes(spark, docs, k, percent, above, limit):
             w[r.randrange(60)] = f"e{r.randrange(400)}"
         near.append((3000 + i, " ".join(w), "en", "s", 1))
     df = docs.unionByName(spark.createDataFrame(near, DOCS))
-    got = jaccard_join.link_components(clashing(df), k, percent, above=above, limit=limit).toPandas()
+    got = jaccard_join.link_components(clashing(df), k, percent, above=above, limit=limit, crowded=crowded).toPandas()
     want = brute_classes([(x.doc_id, x.text) for x in df.collect()], k, percent)
     assert len(got) == df.count()
     assert {(x.doc_id, x.n_shingles, x.component_id) for x in got.itertuples()} == {(i, *v) for i, v in want.items()}
@@ -563,6 +563,51 @@ def test_jaccard_on_awkward_tables(spark, empty):
         jaccard_join.link_components(df, 3, 50)
 
 
+def test_repeated_near_copies_and_ids(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    a, b, other = " ".join(words), " ".join([*words[:39], "x"]), "none of the words above stand in here"
+    df = spark.createDataFrame([(1, a), (2, b)] * 10 + [(2, other)], "doc_id long, text string")
+    seen = []
+    real = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda *x: seen.append(real(*x).count()) or real(*x))
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link_components(df, 3, 90).collect())
+    assert got == {(1, 38, 1): 10, (2, 38, 1): 10, (2, 6, 2): 1} and sum(seen) == 1  # repeats meet once
+
+    def left(rows):
+        out = jaccard_join.one_of_each(clashing(spark.createDataFrame(rows, "doc_id long, text string")))
+        return sorted((r.doc_id, r.text) for r in out.collect())
+
+    assert left([(4, a), (5, a), (5, other)]) == [(4, a), (5, other)]
+    assert left([(4, a), (4, a)]) == [(4, a)]
+    assert left([(4, a), (4, b), (3, other), (3, other)]) in ([(3, other), (4, a)], [(3, other), (4, b)])
+    assert len(left([(1, ""), (1, "")])) == 2
+
+
+def test_near_copies_meet_once(spark):
+    """Every member of a group of near copies shares most keys with every other; pairs still meet once each."""
+    r = random.Random(5)
+    base = [f"b{j}" for j in range(200)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for j in r.sample(range(200), 16):
+            w[j] = f"e{i}.{j}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = jaccard_join.link_components(df, 3, 90).toPandas()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in linked.itertuples()} == brute_classes(rows, 3, 90)
+
+
+def test_runs_of_common_shingles_are_long_enough():
+    for percent in (80, 85, 88, 90, 95, 100):
+        k = jaccard_join.longest(percent)
+        for n in range(1, 400):
+            lacks = int(jaccard_join.slack(np.array([n]), percent)[0])
+            other = n * (100 - percent) // percent  # what a linked set has besides, at most
+            if lacks + other:
+                assert n - lacks >= (k - 1) * (lacks + other + 1) + 1
+
+
 def test_bitmaps_never_rule_out_a_link():
     r = np.random.default_rng(5)
     for _ in range(200):
