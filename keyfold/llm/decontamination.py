@@ -10,7 +10,8 @@ broadcast and held against all training texts in one narrow pass, so neither a t
 passage that all share makes a shuffle or a large group.
 
 Items under ``LEAST`` words have masks for their length, which do the same for the whole item (from ``SHORT`` words on; shorter ones match nothing). Null and empty texts
-match nothing; repeated rows match alike; ids may repeat.
+match nothing; repeated rows match alike; ids may repeat; of stretches of equal length the first is reported. Texts of any length are taken whole. An empty table on either side
+gives no leaks. ``leaks`` reads the key and text columns only, and ``without_leaks`` wraps the row, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ SAME, OF = 4, 5  # so many of so many words agree, at least
 LEAST = 12
 SHORT = min(SHORT_MASKS)
 BLOCK_WORDS = 1 << 19  # words of test items at once
+CHUNK = 1 << 20  # hits at once
 _FILTER_BITS = 22
 _MULT = seeded(64, 4242)
 
@@ -83,20 +85,33 @@ class Items:
             self.seeds[m] = value[order], at[order], item[order], table
 
     def hits(self, h: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Distinct (row, item, diagonal) of all hits; the diagonal is the word of the row at which the item begins."""
-        found = []
+        """Distinct (row, item, diagonal) of all hits; the diagonal is the word of the row at which the item begins.
+
+        Windows are held against the item's by ``CHUNK`` hits at a time and only distinct diagonals are kept, of which a text and an item have no more than
+        words, so a text that repeats one word needs no more room than any other.
+        """
+        span = len(h) + len(self.h) + 1
+        found = np.zeros(0, np.int64)
         for m, (value, at, item, table) in self.seeds.items():
             own, first = seeds(h, off, m)
             near = np.flatnonzero(table[own >> np.uint64(64 - _FILTER_BITS)])
             own, first = own[near], first[near]
             lo, hi = np.searchsorted(value, own), np.searchsorted(value, own, "right")
-            n = hi - lo
-            to = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            start = np.repeat(first, n)
-            row = np.searchsorted(off, start, "right") - 1
-            it = item[to]
-            found.append(np.stack([row, it, start - off[row] - (at[to] - self.off[it])], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+            some = np.flatnonzero(hi > lo)
+            first, lo, n = first[some], lo[some], (hi - lo)[some]
+            many = np.cumsum(n)
+            done, begin = 0, 0
+            while begin < len(n):
+                end = max(begin + 1, int(np.searchsorted(many, done + CHUNK, "right")))
+                size = n[begin:end]
+                to = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[begin:end], size)
+                start = np.repeat(first[begin:end], size)
+                row, it = np.searchsorted(off, start, "right") - 1, item[to]
+                code = (row * len(self.ids) + it) * span + (start - off[row] - (at[to] - self.off[it])) + len(self.h)
+                found = np.unique(np.concatenate([found, np.unique(code)]))
+                done, begin = int(many[end - 1]), end
+        pair, diagonal = found // span, found % span - len(self.h)
+        return np.stack([pair // max(1, len(self.ids)), pair % max(1, len(self.ids)), diagonal], 1)
 
     def leak(self, doc: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
         """(first word in the text, in the item, words, agreeing words) of the longest stretch on a diagonal, if it is long enough."""
@@ -145,7 +160,9 @@ def find(sent: Broadcast, column: pa.Array) -> Iterator[tuple[int, int, tuple[in
     for lo, _, w in words_of(column, ALNUM):
         h = w.folded().hashes
         best: dict = {}
-        for row, item, diagonal in items.hits(h, w.off):
+        for row, item, diagonal in items.hits(h, w.off).tolist():
+            if best.get((row, item), (0, 0, 0, 0))[3] == items.off[item + 1] - items.off[item]:  # all of the item is in the text
+                continue
             leak = items.leak(h[w.off[row] : w.off[row + 1]], item, diagonal)
             if leak and leak[3] > best.get((row, item), (0, 0, 0, 0))[3]:
                 best[row, item] = leak
