@@ -1,29 +1,38 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment. DataFrame functions only.
 
-Words are runs of letters and digits in lower case. Windows of six words start at every second word, so each five-word shingle of a text lies in one window of
-two shingles. A window has ``BANDS`` bands of one MinHash each; the windows of a template start at each of its words. A text window that holds one
-shingle of a template has a Jaccard similarity of 1/2 or more to some window of the template, so the two share a
-band with probability 1 - 0.5 ** 12 = 0.9998 at least; where a text window lies within a template's copy, it is certain.
-Windows with a band of some template are candidates; a template is reported if ``CONTAINED`` of its distinct shingles
-stand, word for word, in the text within a template's length around the window.
-
-A text's windows are generated and filtered within one stage, beside its words, so the few candidates bring along all that their verification reads: one
-narrow pass without a join of texts. Only reports meet, by (doc_id, template). Templates come in blocks of
-bounded size. A template of fewer than five words is one shingle by itself: its word sequence must stand in the text. Null and empty texts have no windows; rows with
-equal ids count as one document; extra columns are not read.
+Words are runs of letters and digits in lower case; shingles have five words. Templates are held against text windows of their own scale: those of ``LONG`` shingles or more against
+windows of 20 shingles (24 words) at every tenth word, shorter ones against windows of two shingles at every second word. A template has a window at each of its words. A window has
+``BANDS`` bands of one MinHash each, so two windows of similarity J share a band with probability 1 - (1 - J) ** BANDS:
+
+* A long template of t shingles of which ``CONTAINED`` stand in the text has a window of similarity 0.67 on average where t is 40 or more (eight of ten shingles in each of
+  two windows in step), and 0.43 at least where t is 12 (9 of its shingles in a window with 11 others): 0.999 at least.
+* A shorter one has a window in step or one that shares one shingle of two at either end: 0.9998 at least for one shingle, 1 for runs of three.
+
+A template's windows come once for each band and value. Candidates are grouped by text, template and block (the block of a template's length in which the window
+begins); each group is verified once: a template is reported if ``CONTAINED`` of its distinct shingles stand, word for word, in the block, its two neighbours and a window more. The work
+is linear in the lengths of text and template. Before all that, texts are left out in which no template can be: each template has words such that more than a fifth of its shingles hold
+one of them, so a text without any of these words holds too few.
+
+Candidates join their texts by a hash of the text. Templates come in blocks of bounded size: ``BLOCK_WORDS`` words or one template.
+A template of fewer than five words is one shingle by itself: its word sequence must stand in the text. Null and empty texts have no windows; rows with
+equal ids count as one document (so do those without an id); of several places the first is reported; texts and templates of any length are taken whole; empty tables give no rows;
+only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from keyfold.llm.store import written
 
 SHINGLE = 5
-WINDOW = 6
-STRIDE = 2
+LONG = 12
+SCALES = {"short": (2, 2), "long": (20, 10)}  # shingles of a window, words between two windows
 BANDS = 12
 CONTAINED = 0.8
-BLOCK = 200  # templates at once
+BLOCK_WORDS = 100_000  # words of templates at once
 
 #: Notices by which texts declare their licence, standard headers, the bodies of short licences, and passages that only one long licence has (its
 #: header or appendix among them). Wordings of one licence share its id. Names and versions stand where a text of a sibling falls under CONTAINED.
@@ -96,92 +105,115 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " "))
 
 
-def windows(w: Column, step: int) -> Column:
-    """(start, a, b): hashes of the two shingles of each window; twice the first where the text ends with it. Texts have five words at least."""
+def hashes(w: Column) -> Column:
+    """The hash of each shingle, in order (texts have SHINGLE words at least)."""
+    return F.transform(F.sequence(F.lit(0), F.size(w) - F.lit(SHINGLE)), lambda i: F.xxhash64(*(F.get(w, i + F.lit(j)) for j in range(SHINGLE))))
+
+
+def shingles(w: Column) -> Column:
+    """Distinct shingles as strings; empty without SHINGLE words."""
+    n = F.size(w) - F.lit(SHINGLE)
+    return F.when(n < 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))))
 
-    def one(i: Column) -> Column:
-        at = [F.get(w, i + F.lit(j)) for j in range(WINDOW)]
-        a = F.xxhash64(*at[:SHINGLE])
-        return F.struct(i.alias("start"), a.alias("a"), F.when(at[-1].isNull(), a).otherwise(F.xxhash64(*at[1:])).alias("b"))
 
-    return F.transform(F.sequence(F.lit(0), F.size(w) - F.lit(SHINGLE), F.lit(step)), one)
+def starts(hashed: Column, step: int) -> Column:
+    """Where windows begin."""
+    return F.sequence(F.lit(0), F.greatest(F.size(hashed) - F.lit(1), F.lit(0)), F.lit(step))
 
 
-def bands(x: Column) -> list[Column]:
+def bands(window: Column) -> Column:
     """The least hash of a window's shingles under each of BANDS hash functions."""
-    return [F.least(F.xxhash64(x["a"], F.lit(k)), F.xxhash64(x["b"], F.lit(k))) for k in range(BANDS)]
 
+    def band(k: int) -> Column:
+        return F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(k))))
+
+    return F.array(*map(band, range(BANDS)))
+
+
+def banded(rows: DataFrame, keys: list[str], size: int, step: int) -> DataFrame:
+    """The keys, start, band, value of all windows of the column ``h``."""
+    found = rows.select(*keys, "h", F.explode(starts(F.col("h"), step)).alias("start"))
+    found = found.select(*keys, "start", bands(F.slice(F.col("h"), F.col("start") + F.lit(1), F.lit(size))).alias("bands"))
+    return found.select(*keys, "start", F.posexplode("bands").alias("band", "value"))
 
-def shingles(w: Column) -> Column:
-    """Distinct five-word shingles as strings."""
-    n = F.size(w) - F.lit(SHINGLE)
-    return F.when(n < 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))))
 
+def anchors(templates: DataFrame, contained: float) -> DataFrame:
+    """Words (``word``) of which each text that holds a template has one: the longest words of each template, as many as it takes for more than
+    ``1 - contained`` of its shingles to hold one of them."""
+    each = templates.select("n", F.explode(F.transform(shingles(F.col("w")), lambda x: F.split(x, " "))).alias("shingle"), F.xxhash64("template_id", "w").alias("t"))
+    each = each.withColumn("s", F.xxhash64("shingle"))
+    # a shingle counts for the longest of its words; a template takes its longest words until enough shingles count for them
+    best = each.select("t", "s", F.array_max(F.transform("shingle", lambda x: F.struct(F.length(x).alias("len"), x.alias("word")))).alias("b"))
+    words_ = best.groupBy("t", "b").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("t").orderBy(F.desc("b"))
+    words_ = words_.withColumns({"all": F.sum("c").over(Window.partitionBy("t")), "before": F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    return words_.where(F.col("before") <= F.floor(F.col("all") * F.lit(1 - contained) + F.lit(1e-9))).select(F.col("b.word").alias("word")).distinct()
 
-def template_windows(templates: DataFrame) -> DataFrame:
-    """template_id, shingles, n_words, bands (templates of SHINGLE words at least): a row for each window start of each template."""
-    t = templates.select("template_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
-    t = t.select("template_id", shingles(F.col("w")).alias("shingles"), F.size("w").alias("n_words"), F.explode(windows(F.col("w"), 1)).alias("x"))
-    return t.select("template_id", "shingles", "n_words", F.array(*bands(F.col("x"))).alias("bands"))
+
+def blocks(templates: DataFrame) -> list[list[str]]:
+    """Ids of templates in blocks of at most BLOCK_WORDS words, or one template."""
+    sizes = templates.where("template_id IS NOT NULL").groupBy("template_id").agg(F.sum(F.size(words(F.col("text")))).alias("n")).orderBy("template_id")
+    out, room = [], 0
+    for r in sizes.toLocalIterator():
+        if not out or room < r["n"]:
+            out.append([])
+            room = BLOCK_WORDS
+        out[-1].append(r["template_id"])
+        room -= r["n"]
+    return out
 
 
 def scan(docs: DataFrame, templates: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """doc_id, template_id, first_word, containment: a row for each document and template that it contains."""
-    spark = docs.sparkSession
-    names = sorted(r[0] for r in templates.select("template_id").distinct().toLocalIterator() if r[0] is not None)
     out = None
-    for lo in range(0, len(names), BLOCK):
-        part = _scan_block(docs, templates.where(F.col("template_id").isin(names[lo : lo + BLOCK])), contained)
-        out = part if out is None else (out if part is None else out.unionByName(part))
-    return spark.createDataFrame([], "doc_id long, template_id string, first_word long, containment double") if out is None else out
+    for ids in blocks(templates):
+        part = _scan_block(docs, templates.where(F.col("template_id").isin(ids)), contained)
+        out = part if out is None else out.unionByName(part) if part is not None else out
+    if out is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, template_id string, first_word long, containment double")
+    return out.groupBy("doc_id", "template_id").agg(F.min("start").cast("long").alias("first_word"), F.max("containment").alias("containment"))
 
 
 def _scan_block(docs: DataFrame, templates: DataFrame, contained: float) -> DataFrame | None:
-    parts = [x for x in (_scan_long(docs, templates, contained), _scan_short(docs, templates)) if x is not None]
-    if not parts:
+    own = templates.select("template_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    own = own.withColumns({"t": F.xxhash64("template_id", "w"), "h": F.when(F.size("w") >= SHINGLE, hashes(F.col("w")))}).withColumn("n", F.size("h"))
+    long_, short = own.where("h IS NOT NULL"), sorted(own.where("h IS NULL").select("template_id", "w").collect())  # a block: bounded
+    some = {r[0] for r in anchors(long_, contained).toLocalIterator()} | {max(r["w"], key=len) for r in short}
+    if not some:
         return None
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return found.groupBy("doc_id", "template_id").agg(F.min("start").cast("long").alias("first_word"), F.max("containment").alias("containment"))
+    has = F.arrays_overlap("w", F.array(*map(F.lit, sorted(some))))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w")).where(has)
+    rows = written(rows, "candidates")  # what is left: every later step reads it
+    found = _scan_long(rows, long_, contained)
+    return found.unionByName(_scan_short(rows, short)) if short else found
 
 
-def _scan_short(docs: DataFrame, templates: DataFrame) -> DataFrame | None:
+def _scan_short(rows: DataFrame, templates: list) -> DataFrame:
     """doc_id, template_id, start, containment of templates under SHINGLE words: their whole sequences."""
-    known = templates.select("template_id", words(F.col("text")).alias("w")).where((F.size("w") > 0) & (F.size("w") < SHINGLE)).distinct().collect()
-    if not known:
-        return None
-    rows = docs.select("doc_id", F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")).alias("t"))
-    at = [F.struct(F.lit(r["template_id"]).alias("template_id"), F.instr("t", f" {' '.join(r['w'])} ").alias("at")) for r in sorted(known)]
+    rows = rows.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"))
+    at = [F.struct(F.lit(r["template_id"]).alias("template_id"), F.instr("t", f" {' '.join(r['w'])} ").alias("at")) for r in templates]
     rows = rows.select("doc_id", "t", F.explode(F.filter(F.array(*at), lambda x: x["at"] > 0)).alias("x"))
     before = F.substring(F.col("t"), F.lit(1), F.col("x.at") - F.lit(1))
     return rows.select("doc_id", "x.template_id", (F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))).alias("start"), F.lit(1.0).alias("containment"))
 
 
-def _scan_long(docs: DataFrame, templates: DataFrame, contained: float) -> DataFrame | None:
+def _scan_long(rows: DataFrame, own: DataFrame, contained: float) -> DataFrame:
     """doc_id, template_id, start, containment by windows."""
-    own = template_windows(templates)
-    known = own.collect()  # a block: bounded
-    if not known:
-        return None
-    longest = max(r["n_words"] for r in known)
-    sets = [sorted({r["bands"][k] for r in known}) for k in range(BANDS)]
-    by_band = docs.sparkSession.createDataFrame(
-        [(k, v, t, list(s), n, list(b)) for k, v, t, s, n, b in sorted({(k, r["bands"][k], r["template_id"], tuple(r["shingles"]), r["n_words"], tuple(r["bands"])) for r in known for k in range(BANDS)})],
-        "band int, value long, template_id string, shingles array<string>, n_words int, own array<bigint>",
-    )
-    rows = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
-    rows = rows.select("doc_id", "w", F.explode(windows(F.col("w"), STRIDE)).alias("x"))
-    mine = bands(F.col("x"))
-    hit = mine[0].isin(sets[0])
-    for k in range(1, BANDS):
-        hit = hit | mine[k].isin(sets[k])
-    rows = rows.where(hit).select("doc_id", "w", F.col("x.start").alias("start"), F.array(*mine).alias("bands"))
-    near = F.slice(F.col("w"), F.greatest(F.col("start") - F.lit(longest), F.lit(0)) + F.lit(1), F.lit(WINDOW + 2 * longest))
-    found = rows.select("doc_id", "start", "bands", near.alias("near"), F.posexplode("bands").alias("band", "value"))
-    found = found.join(F.broadcast(by_band), ["band", "value"])  # a block: bounded
-    found = found.where(F.array_position(F.zip_with("bands", "own", lambda a, b: a == b), F.lit(True)) == F.col("band") + F.lit(1))  # two windows meet once
-    around = F.greatest(F.least(F.col("start"), F.lit(longest)) - F.col("n_words"), F.lit(0)) + F.lit(1)
-    found = found.withColumn("near", F.slice("near", around, F.lit(WINDOW) + F.lit(2) * F.col("n_words")))
-    share = F.size(F.array_intersect(shingles(F.col("near")), F.col("shingles"))) / F.size("shingles")
+    rows = rows.where(F.size("w") >= SHINGLE)
+    hit = None
+    for scale, (size, step) in SCALES.items():
+        of = own.where((F.col("n") >= LONG) if scale == "long" else (F.col("n") < LONG))
+        theirs = banded(of, ["t", "n"], size, 1).select("t", "n", "band", "value").distinct()
+        mine = banded(rows.select("mark", hashes(F.col("w")).alias("h")), ["mark"], size, step)
+        part = mine.join(F.broadcast(theirs), ["band", "value"]).select("mark", "t", "start", F.floor(F.col("start") / F.col("n")).alias("block"))  # a block: bounded
+        hit = part if hit is None else hit.unionByName(part)
+    hit = hit.groupBy("mark", "t", "block").agg(F.min("start").alias("start"))
+    known = own.select("t", "template_id", "n", shingles(F.col("w")).alias("shingles"))
+    found = rows.join(hit, "mark").join(F.broadcast(known), "t")
+    begin = F.greatest((F.col("block") - F.lit(1)) * F.col("n"), F.lit(0)).cast("int")
+    end = ((F.col("block") + F.lit(2)) * F.col("n")).cast("int") + F.lit(max(size for size, _ in SCALES.values()))
+    region = F.slice(F.col("w"), begin + F.lit(1), end - begin + F.lit(SHINGLE - 1))
+    share = F.size(F.array_intersect(shingles(region), F.col("shingles"))) / F.size("shingles")
     return found.select("doc_id", "template_id", "start", share.alias("containment")).where(F.col("containment") >= F.lit(contained))
 
 
