@@ -1,33 +1,36 @@
 """Importance resampling: two hashed n-gram models, one of target and one of raw text, and Gumbel top-k over their ratio.
 
 Tokens are runs of letters and digits, and runs of other signs; unigrams and bigrams are hashed into a fixed number of buckets. The raw model counts the
-n-grams of all documents; the target model those of a bounded sample of rows labelled as good (``SAMPLE`` rows with the least hashes of their ids).
-Seven tenths of the sample make the target model, the rest the cut.
-A text's log weight is its mean log ratio over its n-grams, times ``SHARPNESS``: as if all texts had so many n-grams, lest length decide. Each text gets a Gumbel
-number from a hash of its id and text, so a retried task draws the same; the k texts with the highest sums are a sample without
-replacement in proportion to the weights. By default k is how many texts reach the cut that parts good from bad labelled rows best.
-
-Texts without tokens (null, empty) have log weight 0. Ties at the k-th sum all stay (repeated rows). Without labelled rows, the
-target model is the raw one and all texts stay. Counting and scoring are narrow passes; what meets on the driver is one number a bucket.
+n-grams of all documents; the target model those of a bounded sample of rows labelled as good (``SAMPLE`` ids with the least hashes).
+A text's log weight is the sum of its n-grams' log target probability less their log raw probability, in nats. A text of more than ``LENGTH`` n-grams counts as if it had ``LENGTH``
+of them with its own mean ratio, so that length alone decides nothing; ``temperature`` divides all weights. Each text gets a Gumbel
+number from a hash of the seed, its id and its text, so a retried task draws the same; the k texts with the highest sums are a sample without
+replacement in proportion to the weights (so k = 1 draws from their softmax). k is given, or ``share`` of all rows; by default the share is that of good rows among the labelled ones.
+
+Texts without tokens (null, empty) have log weight 0; so have all texts without labelled rows or good ones, and then all stay. Texts of any length are taken whole; a text
+without an id is weighed like others. Ties at the k-th sum all stay (repeated rows). An empty table gives an empty one. Columns are kept under ``row``, so they may have any name.
+Counting and scoring are narrow passes; what meets on the driver is one number a bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from keyfold.llm.selection import kth_highest
-from keyfold.llm.store import as_rows, from_rows, written
+from keyfold.llm.store import as_rows, discard, from_rows, written
 from keyfold.llm.words import WORD_PUNCT, Words, mix, words_of
 
 BITS = 16
 SAMPLE = 20_000
-SHARPNESS = 400.0
+LENGTH = 128
+SEED = 7
 FIXED = 1 << 20  # sums are compared as integers of this many parts of one
 
 
@@ -56,16 +59,14 @@ def counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = 5.0, noise: float = 0.25) -> np.ndarray:
-    """Per bucket, log of the target's share over the raw share. ``prior`` counts draw it to 0 (what is rare in both says little), and so does
-    ``noise``, by which all ratios shrink: a slight lack of a language among the labels must not add up over its texts. All 0 without target text."""
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = 5.0) -> np.ndarray:
+    """Per bucket, log of the target's share over the raw share; both are drawn towards the raw share by ``prior`` counts, so what is rare in both says little. All 0 without target text."""
     if not target.sum() or not raw.sum():
         return np.zeros_like(raw)
-    ratio = np.log(target + prior) - np.log(target.sum() * raw / raw.sum() + prior)
-    return np.sign(ratio) * np.maximum(np.abs(ratio) - noise, 0)
+    return np.log(target + prior) - np.log(target.sum() * raw / raw.sum() + prior)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text") -> DataFrame:
+def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text", length: int = LENGTH, temperature: float = 1.0) -> DataFrame:
     """``row``, ``log_weight``."""
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
     rows = as_rows(docs)
@@ -76,54 +77,38 @@ def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text") -> DataFrame:
             for lo, hi, w in words_of(b.column(0).field(text), WORD_PUNCT):
                 bucket, row = ngrams(w)
                 n = np.bincount(row, minlength=hi - lo)
-                out[lo:hi] = SHARPNESS * np.bincount(row, sent.value[bucket], hi - lo) / np.maximum(n, 1)
+                out[lo:hi] = np.bincount(row, sent.value[bucket], hi - lo) * np.minimum(1, length / np.maximum(n, 1)) / temperature
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["row", "log_weight"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("log_weight", DoubleType())]))
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut with the least missed share of good plus passed share of bad; between the two values that it parts. Without bad rows, below all."""
-    if not len(good) or not len(bad):
-        return -np.inf
-    values = np.concatenate([good, bad])
-    kind = np.concatenate([np.zeros(len(good)), np.ones(len(bad))])
-    order = np.argsort(values, kind="stable")
-    values, kind = values[order], kind[order]
-    loss = np.concatenate([[1.0], 1 - np.cumsum(kind) / len(bad) + np.cumsum(kind == 0) / len(good)])
-    i = int(np.argmin(loss))
-    if i == 0:
-        return -np.inf
-    return float((values[i - 1] + values[i]) / 2) if i < len(values) else np.inf
-
-
 def labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """doc_id, text, _good, _fit (makes the model, not the cut) of the bounded sample of labelled rows."""
+    """doc_id, text, _good of the bounded sample of labelled rows."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_good"))
     picked = marks.orderBy(F.xxhash64(F.col("doc_id"), F.lit(23)), "doc_id").limit(limit)
-    picked = picked.withColumn("_fit", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(10)) < 7)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-def gumbel(*key: str) -> object:
-    """A standard Gumbel number from a hash of the key."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(7), *key), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+def gumbel(seed: Column, *key: str) -> Column:
+    """A standard Gumbel number from a hash of seed and key."""
+    u = (F.shiftrightunsigned(F.xxhash64(seed, *key), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
     return -F.ln(-F.ln(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, limit: int = SAMPLE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None, seed: int = SEED, limit: int = SAMPLE, temperature: float = 1.0) -> DataFrame:
     """The sampled rows: ``row``, ``log_weight``, ``sum`` (weight and Gumbel number, in parts of FIXED)."""
     some = labelled(docs, labels, limit)
-    ratio = log_ratio(counts(some.where("_good = 1 AND _fit")), counts(docs))
-    scored = weigh(docs, ratio)
-    noisy = scored.withColumn("sum", F.floor((F.col("log_weight") + gumbel("row.doc_id", "row.text")) * F.lit(FIXED)).cast(LongType()))
-    keys = written(noisy.select("log_weight", "sum"), "sums")
+    ratio = log_ratio(counts(some.where("_good = 1")), counts(docs))
+    noisy = weigh(docs, ratio, temperature=temperature)
+    noisy = noisy.withColumn("sum", F.floor((F.col("log_weight") + gumbel(F.lit(seed), "row.doc_id", "row.text")) * F.lit(FIXED)).cast(LongType()))
+    keys = written(noisy.select("sum"), "sums")
     if k is None:
-        marks = weigh(some.where("NOT _fit"), ratio).select("row._good", "log_weight").toPandas()
-        good = marks["_good"] == 1
-        cut = best_cut(marks["log_weight"][good].to_numpy(), marks["log_weight"][~good].to_numpy())
-        k = keys.where(F.col("log_weight") >= F.lit(cut)).count()
+        if share is None:
+            share = some.agg(F.avg("_good")).first()[0] or 1.0
+        k = math.ceil(share * keys.count())
     least = kth_highest(keys, "sum", k)
+    discard(keys)
     return noisy.where(F.lit(False) if least is None else F.col("sum") >= F.lit(least))
 
 

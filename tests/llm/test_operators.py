@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from keyfold.llm import words
 from keyfold.llm import components, decontamination, importance, jaccard_join, license_scan, packing, selection, sharding, suffix_tree, token_files, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -87,11 +88,60 @@ def test_log_weights_are_the_models(spark, docs):
     for t in pdf["text"]:
         np.add.at(raw, grams(t), 1)
     assert np.array_equal(importance.counts(docs), raw)
-    ratio = importance.log_ratio(raw * np.arange(len(raw)), raw)
+    ratio = importance.log_ratio(raw * (np.arange(len(raw)) % 7), raw)
     got = importance.weigh(docs, ratio).select("row.doc_id", "row.text", "log_weight").toPandas()
     for x in got.itertuples():
         g = grams(x.text)
-        assert x.log_weight == pytest.approx(importance.SHARPNESS * ratio[g].mean() if len(g) else 0.0, abs=1e-6)
+        assert x.log_weight == pytest.approx(ratio[g].sum() * min(1, importance.LENGTH / len(g)) if len(g) else 0.0, abs=1e-6)
+
+
+def test_sample_by_brute_force(spark, docs, labels):
+    """Buckets by plain integers, counts by dictionaries, weights and Gumbel numbers by math, and a sort."""
+    whole = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & whole
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & whole
+        return x ^ (x >> 31)
+
+    def hashed(token):
+        total = 0
+        for i, byte in enumerate(token):
+            total += int(words._BYTE[byte]) * pow(words._BASE, i, 1 << 64)
+        return mixed(total & whole)
+
+    def grams(text):
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+        h = [hashed(t) for t in re.findall(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0d]+", raw)]
+        return [x >> 48 for x in [*h, *(mixed((3 * a + 0x9E3779B97F4A7C15 * b) & whole) for a, b in zip(h, h[1:]))]]
+
+    rows = docs.collect()
+    good = {r.doc_id: r.quality for r in labels.collect() if r.doc_id is not None and r.quality is not None}
+    raw, target = collections.Counter(), collections.Counter()
+    for r in rows:
+        raw.update(grams(r.text))
+        target.update(grams(r.text) if good.get(r.doc_id) == 1 else [])
+    n, t = sum(raw.values()), sum(target.values())
+    u = docs.select("doc_id", "text", importance.gumbel(F.lit(importance.SEED), "doc_id", "text").alias("g")).collect()
+    sums = []
+    for r in u:
+        g = grams(r.text)
+        w = sum(math.log(target[x] + 5) - math.log(t * raw[x] / n + 5) for x in g) * min(1, importance.LENGTH / max(1, len(g)))
+        sums.append((math.floor((w + r.g) * importance.FIXED), r.doc_id))
+    k = math.ceil(len(rows) * sum(good[r.doc_id] for r in rows if r.doc_id in good) / sum(r.doc_id in good for r in rows))
+    least = sorted(sums, reverse=True)[k - 1][0]
+    got = importance.resample(clashing(docs), labels).select("row.doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for s, i in sums if s >= least)
+
+
+def test_draws_follow_the_weights(spark):
+    """With k = 1 a text is drawn as often as the softmax of the log weights says."""
+    weights = [0.0, 0.5, 1.0, 2.0, -1.0, 1.5]
+    df = spark.createDataFrame(list(enumerate(weights)), "doc_id long, w double").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(5999))))
+    top = df.groupBy("seed").agg(F.max_by("doc_id", F.col("w") + importance.gumbel(F.col("seed"), "doc_id")).alias("d")).groupBy("d").count().collect()
+    share = np.exp(weights) / np.exp(weights).sum()
+    for r in top:
+        assert abs(r["count"] / 6000 - share[r["d"]]) < 4 * (share[r["d"]] / 6000) ** 0.5
 
 
 def test_resampling_of_k_is_the_top_k(spark, docs, labels):
@@ -103,9 +153,7 @@ def test_resampling_of_k_is_the_top_k(spark, docs, labels):
     assert importance.resample(docs, labels, k=0).isEmpty()
 
 
-def test_best_cut_and_kth(spark):
-    assert 1 < importance.best_cut(np.array([2.0, 3.0]), np.array([0.0, 1.0])) < 2
-    assert importance.best_cut(np.array([1.0]), np.array([])) == -np.inf
+def test_kth(spark):
     values = [random.Random(1).randrange(-(10**12), 10**12) for _ in range(500)] + [5] * 20
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long")
     for k in (1, 7, 300, 520, 9999):
@@ -362,6 +410,37 @@ def test_items_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id, r.doc_word, r.item_word, r.n_words) for r in got) == [(i, i, 2, 0, 20) for i in range(9)]
 
 
+def test_long_texts_of_few_words_leak_within_bounds(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "CHUNK", 1 << 14)
+    items = spark.createDataFrame([(1, "x " * 400), (2, "x y " * 100), (3, " ".join(f"w{i}" for i in range(30)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " * 20_000), (2, "x y " * 10_000), (3, "z " * 30_000 + " ".join(f"w{i}" for i in range(30)))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.doc_word, r.n_words, r.n_same) for r in decontamination.leaks(docs, items).collect()}
+    assert got[1, 1][1:] == (400, 400) and got[2, 2][1:] == (200, 200) and got[3, 3] == (30_000, 30, 30)
+
+
+def test_all_diagonals_by_brute_force(spark):
+    """Few words, so that hits abound: the leaks are those of a search of every diagonal."""
+    r = random.Random(4)
+    items = [(i, [r.choice("abcdefgh") for _ in range(r.randrange(5, 30))]) for i in range(12)]
+    docs = []
+    for i in range(40):
+        words = [r.choice("abcdefghijkl") for _ in range(r.randrange(0, 60))]
+        part = list(r.choice(items)[1])
+        for _ in range(r.randrange(4)):
+            part[r.randrange(len(part))] = "z"
+        docs.append((i, words[:20] + part + words[20:]))
+    want = set()
+    for i, t in docs:
+        for j, own in items:
+            least = min(decontamination.LEAST, len(own))
+            for d in range(-len(own), len(t)):
+                same = [t[a + d] == own[a] for a in range(max(0, -d), min(len(own), len(t) - d))]
+                if any(5 * sum(same[a:b]) >= 4 * (b - a) for a in range(len(same)) for b in range(a + least, len(same) + 1)):
+                    want.add((i, j))
+    got = decontamination.leaks(*(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], f"{key} long, text string") for rows, key in ((docs, "doc_id"), (items, "item_id")))).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(want) > 20
+
+
 def test_any_stretch_with_four_fifths_leaks(spark):
     """Every way to substitute a fifth of short items, and the same of some places in longer ones; one word more is no leak."""
     rng = random.Random(8)
@@ -431,6 +510,39 @@ def test_licence_bodies_and_short_notices(spark):
     assert {r.doc_id: r.first_word for r in got if r.doc_id in (5, 7)} == {5: 2, 7: 2}
 
 
+def test_containment_by_brute_force(spark):
+    """Every stretch of three template lengths around each place of a text, held against each template, with words left out, put in and changed."""
+    r = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(400)]
+    templates = [(f"t{i}", r.choices(vocabulary, k=n)) for i, n in enumerate((5, 6, 8, 11, 15, 16, 17, 20, 30, 60, 150))]
+    docs = []
+    for i in range(50):
+        words = list(r.choice(templates)[1])
+        for _ in range(r.choice((0, 0, 1, 1, len(words) // 20, len(words) // 8))):
+            at = r.randrange(len(words))
+            words[at : at + r.randrange(2)] = [f"x{i}"] * r.randrange(2)
+        docs.append((i, r.choices(vocabulary, k=r.randrange(40)) + words + r.choices(vocabulary, k=r.randrange(40))))
+
+    def grams(w):
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+    best = {(i, n): max((len(grams(own) & grams(w[max(0, at) : at + 3 * len(own)])) / len(grams(own)) for at in range(-len(own), len(w))), default=0) for i, w in docs for n, own in templates}
+    whole = {(i, n): len(grams(own) & grams(w)) / len(grams(own)) for i, w in docs for n, own in templates}
+    got = {(x.doc_id, x.template_id): x.containment for x in license_scan.scan(*(spark.createDataFrame([(a, " ".join(w)) for a, w in rows], f"{key}, text string") for rows, key in ((docs, "doc_id long"), (templates, "template_id string")))).collect()}
+    assert {x for x, c in best.items() if c >= 0.8} <= set(got) and all(0.8 <= c <= whole[x] for x, c in got.items()) and len(got) > 25
+
+
+def test_templates_of_thousands_of_words(spark):
+    r = random.Random(13)
+    body = [r.choice("the of licence work party grant notice") + str(r.randrange(900)) for _ in range(5_600)]
+    other = [f"q{r.randrange(5_000)}" for _ in range(20_000)]
+    worn = [w if r.random() > 0.02 else "gone" for w in body]
+    docs = spark.createDataFrame([(1, " ".join(other + body + other)), (2, " ".join(other[:77] + worn)), (3, " ".join(body[:4_000])), (4, " ".join(other))], "doc_id long, text string")
+    plan = license_scan.scan(docs, spark.createDataFrame([("L", " ".join(body))], "template_id string, text string"))
+    assert {x.doc_id: x.template_id for x in plan.collect()} == {1: "L", 2: "L"}
+    assert "Python" not in plan._jdf.queryExecution().toString() and "Arrow" not in plan._jdf.queryExecution().toString()
+
+
 def test_edited_notice(spark):
     text = "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in it without restriction and so on"
     t = spark.createDataFrame([("P", text)], "template_id string, text string")
