@@ -6,9 +6,8 @@ than its own prefix, which is the order that binary keys have.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,18 +75,40 @@ def eflag_update(eflag: Column, operand: bytes, operator: str | None = None, off
     return F.when(inside, F.concat(before, bitwise(F.substring(eflag, offset + 1, size), operator, operand), after))
 
 
+def eflag_update_status(eflag: Column, operand: bytes, operator: str | None = None, offset: int = 0) -> Column:
+    """OK, or EBADEFLAG where the bytes to combine don't all exist."""
+    return F.when(eflag_update(eflag, operand, operator, offset).isNull(), "EBADEFLAG").otherwise("OK")
+
+
 def padded_difference(high: bytes, low: bytes, size: int) -> int:
     """high - low as big-endian numbers of ``size`` bytes, padded with zero bytes to the right or cut."""
     return int.from_bytes(high[:size].ljust(size, b"\0"), "big") - int.from_bytes(low[:size].ljust(size, b"\0"), "big")
 
 
-def within_range(limit: bytes) -> Column:
-    """An Arrow-batched function (high, low) -> whether high - low is at most ``limit``, on binary keys."""
-    most = int.from_bytes(limit, "big")
+_LIMB = 7  # bytes that a long holds without its sign
+
+
+def _limbs(value: Column, size: int) -> list[Column]:
+    """Longs of _LIMB bytes each, most significant first, of a key's first ``size`` bytes, padded with zero bytes to the right."""
+    width = 2 * _LIMB * -(-size // _LIMB)
+    digits = F.lpad(F.rpad(F.hex(F.substring(value, 1, size)), 2 * size, "0"), width, "0")
+    return [F.conv(F.substring(digits, 1 + at, 2 * _LIMB), 16, 10).cast("long") for at in range(0, width, 2 * _LIMB)]
+
+
+def within_range(limit: bytes) -> Callable[[Column | str, Column | str], Column]:
+    """A function (high, low) -> whether high - low is at most ``limit``, on binary keys: a subtraction in longs with borrows, then a comparison of the digits."""
+    size = len(limit)
 
-    @F.pandas_udf("boolean")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for high, low in batches:
-            yield pd.Series([None if a is None or b is None else padded_difference(bytes(a), bytes(b), len(limit)) <= most for a, b in zip(high, low, strict=True)], dtype="boolean")
+    def test(high: Column | str, low: Column | str) -> Column:
+        x, y = (_limbs(F.col(c) if isinstance(c, str) else c, size) for c in (high, low))
+        most = limit.rjust(len(x) * _LIMB, b"\0")
+        borrow, digits = F.lit(0), []
+        for a, b in zip(reversed(x), reversed(y), strict=True):
+            d = a - b - borrow
+            borrow = F.when(d < 0, 1).otherwise(0)
+            digits.append(F.when(d < 0, d + F.lit(1 << 8 * _LIMB)).otherwise(d))
+        wanted = [F.lit(int.from_bytes(most[i : i + _LIMB], "big")).cast("long") for i in range(0, len(most), _LIMB)]
+        smaller = F.struct(*(d.alias(f"d{i}") for i, d in enumerate(reversed(digits)))) <= F.struct(*(w.alias(f"d{i}") for i, w in enumerate(wanted)))
+        return (borrow == 1) | smaller
 
-    return run
+    return test

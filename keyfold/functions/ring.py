@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 POINTS = 40  # digests a node, of four points each
+MOST = 1 << 16  # points of a ring that is broadcast
+_WIDTH = 1 << 20  # hashes of a range
 
 
 def _point(digest: Column, i: int) -> Column:
@@ -26,10 +28,28 @@ def build(nodes: DataFrame) -> DataFrame:
     return digests.select("node", F.explode(F.array(*(_point(F.col("d"), i) for i in range(4)))).alias("hpoint"))
 
 
-def lookup(keys: DataFrame, ring: DataFrame, buckets: int = 256) -> DataFrame:
+def lookup(keys: DataFrame, ring: DataFrame, most: int = MOST) -> DataFrame:
     """``keys`` with hash, hpoint and node. Equal points go to the lesser node; past the last point comes the first.
 
-    A forward as-of join: points and keys are dealt into ranges of the hash space, each range also gets the first point after it, and within a range
+    A ring of at most ``most`` points, which a count that stops there checks, is broadcast: as intervals between points, by ranges of the hash space, so that a key meets one or two of
+    them and keys aren't shuffled. A larger one is joined as of each hash, by ranges as well.
+    """
+    if ring.limit(most + 1).count() > most:
+        return _lookup_by_ranges(keys, ring)
+    points = ring.groupBy("hpoint").agg(F.min("node").alias("node"))
+    order = Window.orderBy("hpoint")  # at most ``most`` rows
+    points = points.withColumn("above", F.coalesce(F.lag("hpoint").over(order), F.lit(-1)))
+    wrap = points.agg(F.min_by(F.struct("hpoint", "node"), "hpoint").alias("p"), F.max("hpoint").alias("above")).where("p IS NOT NULL")
+    upto = F.lit((1 << 32) - 1)
+    spans = points.select("hpoint", "node", "above", F.col("hpoint").alias("upto")).unionByName(wrap.select("p.hpoint", "p.node", "above", upto.alias("upto")))
+    spans = spans.where("above < upto").withColumn("range", F.explode(F.sequence(F.floor((F.col("above") + 1) / _WIDTH), F.floor(F.col("upto") / _WIDTH))))
+    hashed = keys.withColumn("hash", key_hash(F.col("key")))
+    met = (F.floor(F.col("hash") / _WIDTH) == F.col("range")) & (F.col("hash") > F.col("above")) & (F.col("hash") <= F.col("upto"))
+    return hashed.join(F.broadcast(spans), met).drop("above", "upto", "range")
+
+
+def _lookup_by_ranges(keys: DataFrame, ring: DataFrame, buckets: int = 256) -> DataFrame:
+    """A forward as-of join: points and keys are dealt into ranges of the hash space, each range also gets the first point after it, and within a range
     the next point is a running minimum from above. Neither side is collected or broadcast.
     """
     width = (1 << 32) // buckets

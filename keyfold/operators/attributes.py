@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from keyfold.model import DEFAULT_COUNT, MAX_COUNT
 
@@ -14,11 +15,31 @@ ACTIONS = {
     "btree": ("error", "smallest_trim", "largest_trim", "smallest_silent_trim", "largest_silent_trim"),
 }
 DEFAULT_ACTION = {"list": "tail_trim", "set": "error", "map": "error", "btree": "smallest_trim"}
-KV_ONLY = ("flags", "expiretime", "type")
+KV_NAMES = ("type", "flags", "expiretime", "exptime")  # what single values have; other names are of collections
+
+
+def getattr_status(items: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """key, status of a request for attributes: NOT_FOUND; EBADATTR, where a single value is asked for what only collections have; else OK."""
+    known = keys.select("key").distinct().join(items.select("key", "type"), "key", "left")
+    bad = (F.col("type") == "kv") & F.lit(any(n not in KV_NAMES for n in names))
+    return known.select("key", F.when(F.col("type").isNull(), "NOT_FOUND").when(bad, "EBADATTR").otherwise("OK").alias("status"))
+
+
+def create(items: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items after it, key and status) of empty collections to be made (key, and other columns of ``items``): EXISTS where the key is there, whatever its type, else CREATED. The first of
+    equal keys (by seq, if there is one) makes it."""
+    order = F.col("seq") if "seq" in asked.columns else F.lit(0)
+    ranked = asked.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(order))).join(items.select("key", F.lit(True).alias("_there")), "key", "left")
+    made = F.col("_there").isNull() & (F.col("_r") == 1)
+    statuses = ranked.select("key", *(["seq"] if "seq" in asked.columns else []), F.when(made, "CREATED").otherwise("EXISTS").alias("status"))
+    new = ranked.where(made).select(*(F.col(c) if c in asked.columns else F.lit(None).cast(items.schema[c].dataType).alias(c) for c in items.columns))
+    return items.unionByName(new), statuses
 
 
 def getattr_rows(items: DataFrame, elements: DataFrame, names: list[str]) -> DataFrame:
-    """key, pos, name, value (text) of attributes in the order asked. ``elements``: key and, for trees, bkey."""
+    """key, pos, name, value (text) of attributes in the order asked, of the items whose type has them all. ``elements``: key and, for trees, bkey."""
+    if any(n not in KV_NAMES for n in names):
+        items = items.where(F.col("type") != "kv")
     sizes = [F.count(F.lit(1)).alias("count")]
     if "bkey" in elements.columns:
         sizes += [F.min("bkey").cast("string").alias("minbkey"), F.max("bkey").cast("string").alias("maxbkey")]

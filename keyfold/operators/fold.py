@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from keyfold.model import DEFAULT_COUNT, MAX_COUNT
+
 COMMANDS = "key string, seq long, op string, bkey long, value string, attr string"
 STATUSES = "key string, seq long, status string"
 STATE = "key string, bkey long, value string, trimmed boolean"
@@ -85,7 +87,7 @@ class Tree:
             stored = self._store(bkey, initial)
             return initial if stored == "STORED" else stored
         old = self.values[bkey]
-        if not (old or "").isdigit() or int(old) >= 1 << 64 or not (delta or "").isdigit():
+        if not _digits(old) or int(old) >= 1 << 64 or not _digits(delta):
             return "CLIENT_ERROR cannot increment or decrement non-numeric value"
         new = (int(old) + int(delta)) % (1 << 64) if op == "incr" else max(int(old) - int(delta), 0)
         self.values[bkey] = str(new)
@@ -97,15 +99,22 @@ class Tree:
             if value != self.action:
                 self.action, self.trimmed = value, False
             return "OK"
-        if name == "maxcount" and value.isdigit() and int(value) >= len(self.keys):
-            self.maxcount = int(value)
+        if name == "maxcount" and _digits(value.removeprefix("-")):
+            most = DEFAULT_COUNT if int(value) == 0 else min(int(value), MAX_COUNT) if int(value) > 0 else MAX_COUNT
+            if most < len(self.keys):
+                return "ATTR_ERROR bad value"
+            self.maxcount = most
             return "OK"
-        if name == "maxbkeyrange" and value.isdigit() and (not self.keys or self.keys[-1] - self.keys[0] <= int(value)):
+        if name == "maxbkeyrange" and _digits(value) and (not self.keys or self.keys[-1] - self.keys[0] <= int(value)):
             self.maxrange = int(value) or None
             return "OK"
         return "ATTR_ERROR bad value"
 
 
+def _digits(x: str | None) -> bool:
+    return bool(x) and x.isascii() and x.isdigit()
+
+
 def _text(x: object) -> str | None:
     return None if x is None or x is pd.NA or x != x else str(x)
 

@@ -25,9 +25,9 @@ def upsert_fold(log: DataFrame) -> DataFrame:
 
 
 def update(elements: DataFrame, updates: DataFrame) -> DataFrame:
-    """New values for fields that are there."""
-    new = updates.select("key", "field", F.col("value").alias("_v"))
-    return elements.join(new, ["key", "field"], "left").withColumn("value", F.coalesce("_v", "value")).drop("_v")
+    """New values for fields that are there; of several updates of a field (with seq) the last one holds."""
+    new = updates.groupBy("key", "field").agg(F.max_by(F.struct("value"), "seq" if "seq" in updates.columns else "value").alias("_v"))
+    return elements.join(new, ["key", "field"], "left").withColumn("value", F.when(F.col("_v").isNotNull(), F.col("_v.value")).otherwise(F.col("value"))).drop("_v")
 
 
 def get(elements: DataFrame, fields: list[str] | None = None) -> DataFrame:

@@ -42,30 +42,34 @@ def scrub(items: DataFrame, now: int, flushed: int | None = None, mine=None) ->
     return items.where(keep), report
 
 
-def evict(items: DataFrame, capacity: int, now: int, buckets: int = 1024) -> DataFrame:
-    """Items that fit into ``capacity`` bytes when dead ones go first and then the least recently used; sticky ones are not evicted.
+def _before(rows: DataFrame, order: str, descending: bool = False, buckets: int = 1024) -> DataFrame:
+    """``rows`` with ``_above``: the bytes of all rows before each in the order of a numeric column (ties by key), its own left out.
 
-    Sizes are summed by ranges of access time first, and the running sum is then taken within ranges only, so no task orders all items.
+    Sizes are summed by ranges of the column first, and the running sum is then taken within ranges only, so no task orders all rows.
     """
+    buckets = max(buckets, 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    span = rows.agg(F.struct(F.min(order).alias("lo"), F.max(order).alias("hi"))).scalar()
+    dealt = rows.withColumn("_b", F.floor((F.col(order) - span["lo"]) * F.lit(float(buckets)) / (span["hi"] - span["lo"] + F.lit(1))).cast("int"))
+    sort = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    earlier = Window.orderBy(sort("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
+    sums = dealt.groupBy("_b").agg(F.sum("nbytes").alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    own = Window.partitionBy("_b").orderBy(sort(order), "key").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(sums), "_b").withColumn("_above", F.coalesce(F.sum("nbytes").over(own), F.lit(0)) + F.col("_from")).drop("_b", "_from")
+
+
+def evict(items: DataFrame, capacity: int, now: int, buckets: int = 1024) -> DataFrame:
+    """Items that fit into ``capacity`` bytes when dead ones go first and then the least recently used; sticky ones are not evicted."""
     alive = items.where(valid(F.col("exptime"), None, now))
     sticky = F.col("exptime") == -1
     held = alive.where(sticky).agg(F.coalesce(F.sum("nbytes"), F.lit(0))).scalar()
-    rest = alive.where(~sticky)
-    span = rest.agg(F.struct(F.min("atime").alias("lo"), F.max("atime").alias("hi"))).scalar()
-    dealt = rest.withColumn("_b", F.floor((F.col("atime") - span["lo"]) * F.lit(buckets) / (span["hi"] - span["lo"] + F.lit(1))).cast("int"))
-    newer = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
-    sums = dealt.groupBy("_b").agg(F.sum("nbytes").alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(newer), F.lit(0))).drop("_n")
-    own = Window.partitionBy("_b").orderBy(F.desc("atime"), "key").rowsBetween(Window.unboundedPreceding, 0)
-    kept = dealt.join(F.broadcast(sums), "_b").withColumn("_sum", F.sum("nbytes").over(own) + F.col("_above"))
-    kept = kept.where(F.col("_sum") + held <= F.lit(capacity)).select(items.columns)
+    kept = _before(alive.where(~sticky), "atime", descending=True, buckets=buckets)
+    kept = kept.where(F.col("_above") + F.col("nbytes") + held <= F.lit(capacity)).select(items.columns)
     return kept.unionByName(alive.where(sticky))
 
 
 def sticky_within(items: DataFrame, limit: int) -> DataFrame:
     """Sticky items (with seq) that were let in: those stored while the bytes before them were under the limit."""
-    upto = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    stored = items.where(F.col("exptime") == -1).withColumn("_n", F.coalesce(F.sum("nbytes").over(upto), F.lit(0)))
-    return stored.where(F.col("_n") < F.lit(limit)).drop("_n")
+    return _before(items.where(F.col("exptime") == -1), "seq").where(F.col("_above") < F.lit(limit)).select(items.columns)
 
 
 def accessed(items: DataFrame, reads: DataFrame, granularity: int = 60) -> DataFrame:

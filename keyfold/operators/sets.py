@@ -29,10 +29,10 @@ def exist(elements: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def get(elements: DataFrame, count: int = 0, seed: int | None = None) -> DataFrame:
-    """All members of each set, or a uniform sample of ``count`` without replacement: by a hash of member and seed, or random without a seed."""
+    """All members of each set, or a uniform sample of ``count`` without replacement: by the MD5 of seed, key and member (the same in any engine), or random without a seed."""
     if not count:
         return elements.select("key", "value")
-    draw = F.rand() if seed is None else F.xxhash64("key", "value", F.lit(seed))
+    draw = F.rand() if seed is None else F.md5(F.concat_ws("|", F.lit(str(seed)), "key", F.col("value").cast("string")).cast("binary"))
     order = Window.partitionBy("key").orderBy("_d", "value")
     return elements.select("key", "value").withColumn("_d", draw).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= count).drop("_d", "_r")
 

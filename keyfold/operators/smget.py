@@ -21,10 +21,13 @@ class SortMerge:
         return "END" if same.isEmpty() else "DUPLICATED"
 
 
-def check(items: DataFrame, keys: DataFrame) -> None:
-    """One key of another type fails the whole call."""
-    if not items.join(keys.select("key").distinct(), "key", "left_semi").where(F.col("type") != "btree").isEmpty():
+def check(items: DataFrame, keys: DataFrame, kind: str | None = None) -> None:
+    """One key of another type fails the whole call; with ``kind`` (and a column bkeytype) so does a tree with element keys of the other kind. Runs a job."""
+    asked = items.join(keys.select("key").distinct(), "key", "left_semi")
+    if not asked.where(F.col("type") != "btree").isEmpty():
         raise ValueError("TYPE_MISMATCH")
+    if kind and not asked.where(F.col("bkeytype") != F.lit(kind)).isEmpty():
+        raise ValueError("BKEY_MISMATCH")
 
 
 def smget(items: DataFrame, elements: DataFrame, keys: DataFrame, a: object, b: object, offset: int, count: int, unique: bool = False, efilter: Column | None = None) -> SortMerge:
@@ -35,7 +38,9 @@ def smget(items: DataFrame, elements: DataFrame, keys: DataFrame, a: object, b:
     """
     up = a <= b
     lo, hi = (a, b) if up else (b, a)
-    edge = elements.groupBy("key").agg(F.min("bkey").alias("least"), F.max("bkey").alias("most"))
+    elements = elements.join(keys.select("key").distinct(), "key", "left_semi")
+    met = (F.col("bkey") >= F.lit(a)) & (F.col("bkey") < F.lit(b)) if up else (F.col("bkey") <= F.lit(a)) & (F.col("bkey") > F.lit(b))
+    edge = elements.groupBy("key").agg(F.min("bkey").alias("least"), F.max("bkey").alias("most"), F.count_if(met).alias("between"))
     known = keys.join(items.select("key", "readable", "ovflaction", "trimmed"), "key", "left").join(edge, "key", "left")
     smallest = F.coalesce(F.col("trimmed") & (F.col("ovflaction") == "smallest_trim"), F.lit(False))
     largest = F.coalesce(F.col("trimmed") & (F.col("ovflaction") == "largest_trim"), F.lit(False))
@@ -57,14 +62,11 @@ def smget(items: DataFrame, elements: DataFrame, keys: DataFrame, a: object, b:
     rows = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > offset).withColumn("rank", F.col("rank") - offset)
 
     # trees read down to a trimmed edge: reported unless the rows are full and end before it
-    inner = elements.join(taking.select("key").distinct(), "key", "left_semi").where(F.col("bkey").between(F.lit(lo), F.lit(hi)))
     side, end = (largest, F.col("most")) if up else (smallest, F.col("least"))
-    between = (F.col("bkey") >= F.lit(a)) & (F.col("bkey") < F.lit(b)) if up else (F.col("bkey") <= F.lit(a)) & (F.col("bkey") > F.lit(b))
-    inside = inner.groupBy("key").agg(F.count_if(between).alias("between"))
     off = (F.lit(b) > end) if up else (F.lit(b) < end)
-    off = off | ((F.lit(b) == end) & (F.coalesce("between", F.lit(0)) == 0))
+    off = off | ((F.lit(b) == end) & (F.col("between") == 0))
     side = side & F.lit(a != b)  # a single key is met or not
-    ran = taking.where(side).join(inside, "key", "left").where(off).select("key", end.alias("bkey")).distinct()
+    ran = taking.where(side).where(off).select("key", end.alias("bkey")).distinct()
     last = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), (F.max("bkey") if up else F.min("bkey")).alias("last")).alias("x")).scalar()
     before = F.col("bkey") < last["last"] if up else F.col("bkey") > last["last"]
     trimmed = ran.where((last["n"] < count) | before).select("key", "bkey")

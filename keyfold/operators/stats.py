@@ -22,10 +22,6 @@ def by_prefix(items: DataFrame, delimiter: str = ":") -> DataFrame:
     return tagged.groupBy("prefix").agg(*one, *size)
 
 
-
-
-
-
 def prefix_limit(stats: DataFrame, most: int = MAX_PREFIXES) -> DataFrame:
     """The statistics, or an error where there are too many prefixes to list. Runs a job that reads at most one more than that."""
     if stats.limit(most + 1).count() > most:
@@ -55,7 +51,7 @@ def top_keys(log: DataFrame, most: int, commands: list[str]) -> DataFrame:
 
 
 def query_cost(op: Column, frm: Column, elements: Column) -> Column:
-    """Elements that a command touches: list reads also walk to the index that they begin at."""
+    """Elements that a command touches: list reads also walk to the index that they begin at. For reads of trees ``elements`` is what ``btree.visits`` counts."""
     walk = F.when(frm >= 0, frm + 1).otherwise(-frm)
     return F.when(op == "lop_insert", walk).when(op.isin("lop_get", "lop_delete"), elements + walk).otherwise(elements)
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from keyfold.plans import catalog
@@ -25,7 +26,7 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
     out = []
     for r in frame.itertuples(index=False):
-        out.append(tuple(None if x is None or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r))
+        out.append(tuple(None if pd.isna(x) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r))
     return sorted(out, key=lambda r: tuple((x is not None, str(x)) for x in r))
 
 
