@@ -11,7 +11,7 @@ windows of 20 shingles (24 words) at every tenth word, shorter ones against wind
 A template's windows come once for each band and value. Candidates are grouped by text, template and block (the block of a template's length in which the window
 begins); each group is verified once: a template is reported if ``CONTAINED`` of its distinct shingles stand, word for word, in the block, its two neighbours and a window more. The work
 is linear in the lengths of text and template. Before all that, texts are left out in which no template can be: each template has words such that more than a fifth of its shingles hold
-one of them, so a text without any of these words holds too few.
+one of them, so a text without any of these words holds too few. Of the others only windows get bands that hold a shingle of some template.
 
 Candidates join their texts by a hash of the text. Templates come in blocks of bounded size: ``BLOCK_WORDS`` words or one template.
 A template of fewer than five words is one shingle by itself: its word sequence must stand in the text. Null and empty texts have no windows; rows with
@@ -110,10 +110,13 @@ def hashes(w: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(w) - F.lit(SHINGLE)), lambda i: F.xxhash64(*(F.get(w, i + F.lit(j)) for j in range(SHINGLE))))
 
 
-def shingles(w: Column) -> Column:
-    """Distinct shingles as strings; empty without SHINGLE words."""
+def shingles(w: Column, first: Column | None = None, last: Column | None = None) -> Column:
+    """Distinct shingles as strings, all or those that begin at ``first`` to ``last``; empty without SHINGLE words. (Words are got one by one: a slice in a lambda copies the whole text.)"""
     n = F.size(w) - F.lit(SHINGLE)
-    return F.when(n < 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))))
+    lo = F.lit(0) if first is None else first
+    hi = n if last is None else F.least(n, last)
+    found = F.transform(F.sequence(lo, F.greatest(hi, lo)), lambda i: F.concat_ws(" ", *(F.get(w, i + F.lit(j)) for j in range(SHINGLE))))
+    return F.when(hi < lo, F.array().cast("array<string>")).otherwise(F.array_distinct(found))
 
 
 def starts(hashed: Column, step: int) -> Column:
@@ -130,11 +133,29 @@ def bands(window: Column) -> Column:
     return F.array(*map(band, range(BANDS)))
 
 
-def banded(rows: DataFrame, keys: list[str], size: int, step: int) -> DataFrame:
-    """The keys, start, band, value of all windows of the column ``h``."""
-    found = rows.select(*keys, "h", F.explode(starts(F.col("h"), step)).alias("start"))
-    found = found.select(*keys, "start", bands(F.slice(F.col("h"), F.col("start") + F.lit(1), F.lit(size))).alias("bands"))
-    return found.select(*keys, "start", F.posexplode("bands").alias("band", "value"))
+def banded(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys, start, band, value of all windows (start, window: their shingles' hashes)."""
+    return windows.select(*keys, "start", F.posexplode(bands(F.col("window"))).alias("band", "value"))
+
+
+def cut(at: Column, size: int) -> Column:
+    """A row (start, window) for each place in ``at``; cut before they are dealt out, so that no row brings along the whole text."""
+    return F.explode(F.transform(at, lambda i: F.struct(i.alias("start"), F.array_compact(F.array(*(F.get("h", i + F.lit(j)) for j in range(size)))).alias("window"))))
+
+
+def template_windows(own: DataFrame, size: int) -> DataFrame:
+    """t, n, start, window: one from each shingle of each template on."""
+    return own.select("t", "n", cut(starts(F.col("h"), 1), size).alias("x")).select("t", "n", "x.*")
+
+
+def text_windows(rows: DataFrame, own: DataFrame, size: int, step: int) -> DataFrame:
+    """mark, start, window: those at every ``step`` words that hold a shingle of some template; all others have similarity 0 to any window of a template."""
+    known = own.select(F.explode("h").alias("x")).distinct()
+    met = rows.select("mark", F.posexplode("h").alias("pos", "x")).join(F.broadcast(known), "x", "left_semi")  # a block: bounded
+    last = (F.floor(F.col("pos") / step) * step).cast("int")
+    met = met.select("mark", F.explode(F.array(*(last - F.lit(i * step) for i in range(size // step)))).alias("start")).where("start >= 0")
+    met = met.groupBy("mark").agg(F.collect_set("start").alias("at"))  # as many as a text has windows
+    return rows.join(met, "mark").select("mark", cut(F.col("at"), size).alias("x")).select("mark", "x.*")
 
 
 def anchors(templates: DataFrame, contained: float) -> DataFrame:
@@ -176,14 +197,14 @@ def scan(docs: DataFrame, templates: DataFrame, contained: float = CONTAINED) ->
 
 def _scan_block(docs: DataFrame, templates: DataFrame, contained: float) -> DataFrame | None:
     own = templates.select("template_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
-    own = own.withColumns({"t": F.xxhash64("template_id", "w"), "h": F.when(F.size("w") >= SHINGLE, hashes(F.col("w")))}).withColumn("n", F.size("h"))
+    own = written(own.withColumns({"t": F.xxhash64("template_id", "w"), "h": F.when(F.size("w") >= SHINGLE, hashes(F.col("w")))}), "templates").withColumn("n", F.size("h"))
     long_, short = own.where("h IS NOT NULL"), sorted(own.where("h IS NULL").select("template_id", "w").collect())  # a block: bounded
     some = {r[0] for r in anchors(long_, contained).toLocalIterator()} | {max(r["w"], key=len) for r in short}
     if not some:
         return None
     has = F.arrays_overlap("w", F.array(*map(F.lit, sorted(some))))
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w")).where(has)
-    rows = written(rows, "candidates")  # what is left: every later step reads it
+    rows = written(rows.withColumn("h", F.when(F.size("w") >= SHINGLE, hashes(F.col("w")))), "candidates")  # what is left: every later step reads it
     found = _scan_long(rows, long_, contained)
     return found.unionByName(_scan_short(rows, short)) if short else found
 
@@ -200,20 +221,20 @@ def _scan_short(rows: DataFrame, templates: list) -> DataFrame:
 def _scan_long(rows: DataFrame, own: DataFrame, contained: float) -> DataFrame:
     """doc_id, template_id, start, containment by windows."""
     rows = rows.where(F.size("w") >= SHINGLE)
+    hashed = rows.select("mark", "h")
     hit = None
     for scale, (size, step) in SCALES.items():
         of = own.where((F.col("n") >= LONG) if scale == "long" else (F.col("n") < LONG))
-        theirs = banded(of, ["t", "n"], size, 1).select("t", "n", "band", "value").distinct()
-        mine = banded(rows.select("mark", hashes(F.col("w")).alias("h")), ["mark"], size, step)
+        theirs = banded(template_windows(of, size), ["t", "n"]).select("t", "n", "band", "value").distinct()
+        mine = banded(text_windows(hashed, of, size, step), ["mark"])
         part = mine.join(F.broadcast(theirs), ["band", "value"]).select("mark", "t", "start", F.floor(F.col("start") / F.col("n")).alias("block"))  # a block: bounded
         hit = part if hit is None else hit.unionByName(part)
     hit = hit.groupBy("mark", "t", "block").agg(F.min("start").alias("start"))
     known = own.select("t", "template_id", "n", shingles(F.col("w")).alias("shingles"))
     found = rows.join(hit, "mark").join(F.broadcast(known), "t")
     begin = F.greatest((F.col("block") - F.lit(1)) * F.col("n"), F.lit(0)).cast("int")
-    end = ((F.col("block") + F.lit(2)) * F.col("n")).cast("int") + F.lit(max(size for size, _ in SCALES.values()))
-    region = F.slice(F.col("w"), begin + F.lit(1), end - begin + F.lit(SHINGLE - 1))
-    share = F.size(F.array_intersect(shingles(region), F.col("shingles"))) / F.size("shingles")
+    end = ((F.col("block") + F.lit(2)) * F.col("n")).cast("int") + F.lit(max(size for size, _ in SCALES.values()) - 1)
+    share = F.size(F.array_intersect(shingles(F.col("w"), begin, end), F.col("shingles"))) / F.size("shingles")
     return found.select("doc_id", "template_id", "start", share.alias("containment")).where(F.col("containment") >= F.lit(contained))
 
 
