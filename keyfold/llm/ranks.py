@@ -16,7 +16,7 @@ def gapless(df: DataFrame, groups: list[str], order: list[str], name: str, chunk
     """``df`` with ``name``: 0, 1, ... within each group, by (chunk of the order key's hash, order).
 
     Rows of a group are dealt into chunks by a hash of the order columns, numbered within their chunk, and moved up by the
-    sizes of the chunks before. No task sorts a whole group, however large it is. Ties in ``order`` get numbers in any order.
+    sizes of the chunks before. No task sorts a whole group, however large it is, if ``order`` tells its rows apart: callers add a stored unique number where ids may repeat or lack.
     """
     chunks = chunks or chunk_count(df)
     dealt = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))

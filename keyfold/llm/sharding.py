@@ -4,7 +4,8 @@ Every shard bids for every key with ``-weight / ln(u)``, where u in (0, 1) comes
 the highest bid gets the record, ties go to the lower shard. A bid depends on nothing but its key and its shard, so one more shard
 takes records only into itself (about its share of the weight), and one shard less gives back only its own.
 
-Null keys are hashed as an empty string with a mark of their own; null texts have no bytes; equal keys meet in one shard.
+Null keys are hashed as an empty string with a mark of their own; null texts have no bytes; equal keys meet in one shard, and rows that repeat a key (or have none) each have a slot.
+Long texts count whole; an empty table gives an empty one.
 ``assign`` keeps all columns under ``row``, so no name clashes; ``shard_report`` reads doc_id and text only.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.ranks import gapless
-from keyfold.llm.store import as_rows
+from keyfold.llm.store import as_rows, written
 
 SEED = 1701
 SHARDS = 24
@@ -52,12 +53,13 @@ def write_shards(df: DataFrame, key: str, weights: Sequence[float], path: str, s
 def shard_report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document: equal weights, ``shards`` shards."""
     key, text = F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))
-    one = docs.select(
+    one = written(docs.select(
         "doc_id",
         (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
         shard_of(key, [1.0] * shards, seed).alias("shard"),
         shard_of(key, [1.0] * (shards + 1), seed).alias("grown_shard"),
-    )
-    return gapless(one, ["shard"], ["doc_id", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+        F.monotonically_increasing_id().alias("_uid"),  # stored with the row: what has no id, or another's, gets a place of its own
+    ), "shards")
+    return gapless(one, ["shard"], ["doc_id", "text_crc32", "_uid"], "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a new local one."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset on a local master (tests), a new local one. On a cluster it must be set: executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         found = f"file://{tempfile.mkdtemp(prefix='keyfold-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
