@@ -7,9 +7,10 @@ keeps what reaches it; ties at the k-th score are decided by the smaller id, of
 
 Queries come in blocks of bounded size, each broadcast and scored against all rows with one matrix product per batch. Vectors that are
 null, or hold null or non-finite components, take no part; vectors meet only vectors of their own length. Where no
-sum can leave the range in which doubles are exact, products are made in doubles, else in 64-bit integers.
+sum can leave the range in which doubles are exact, products are made in doubles, else in 64-bit integers, and where those don't do either (components from about 2**22 on), in whole
+numbers of any size; scores beyond a long are cut to its range in the result, ranks are not affected. (256 * x must be finite.)
 An empty table gives an empty result; a query with fewer than k others gets them all. Repeated ids are rows of their own,
-but rows with the query's own id are never its results.
+but rows with the query's own id are never its results. Only the two columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from keyfold.llm.store import written
 BLOCK = 2048  # queries at once
 BINS = 1024
 SCALE = 256.0
-_EXACT = float(1 << 53)
+_EXACT = 1 << 53
+_WIDE = 1 << 61
 
 
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,38 +49,64 @@ def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim in np.unique(sizes[ok]):
             at = np.flatnonzero(ok & (sizes == dim))
             q = np.floor(flat[off[at][:, None] + np.arange(dim)] * SCALE)
-            norm = np.sqrt((q * q).sum(1))
-            if (np.abs(q) >= 2.0**62).any():
-                raise ValueError("a component is too large for a 64-bit score")
-            yield pa.record_batch([ids.take(pa.array(at)).cast(pa.int64()), pa.array(np.full(len(at), dim, np.int32)), pa.array(norm), pa.FixedSizeListArray.from_arrays(pa.array(q.astype(np.int64).ravel()), int(dim)).cast(pa.list_(pa.int64()))], ["vec_id", "dim", "norm", "q"])
+            most = np.abs(q).max(1)
+            norm = np.where(most < 1e100, np.sqrt((np.minimum(np.abs(q), 1e100) ** 2).sum(1)), np.inf)
+            yield pa.record_batch([ids.take(pa.array(at)).cast(pa.int64()), pa.array(np.full(len(at), dim, np.int32)), pa.array(norm), pa.array(most), pa.FixedSizeListArray.from_arrays(pa.array(q.ravel()), int(dim)).cast(pa.list_(pa.float64()))], ["vec_id", "dim", "norm", "most", "q"])
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, dim, norm, q: each component as floor(256 * x), without the rows that take no part."""
-    return vectors.select(key, vector).mapInArrow(_quantise, "vec_id long, dim int, norm double, q array<bigint>")
+    """vec_id, dim, norm, most (greatest component), q: each component as floor(256 * x), which a double holds exactly, without the rows that take no part."""
+    return vectors.select(key, vector).mapInArrow(_quantise, "vec_id long, dim int, norm double, most double, q array<double>")
 
 
-def scores(block: np.ndarray, rows: np.ndarray, exact: bool) -> np.ndarray:
-    """Integer inner products of two integer matrices."""
-    return (block.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64) if exact else block @ rows.T
+_NINES = str.maketrans("0123456789", "9876543210")
+_whole = np.frompyfunc(int, 1, 1)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], dim: int, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def as_kind(x: np.ndarray, bound: int) -> np.ndarray:
+    """Whole numbers held as doubles, in the type in which sums up to ``bound`` are exact."""
+    return x if bound < _EXACT else x.astype(np.int64) if bound < _WIDE else _whole(x)
+
+
+def scores(block: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Integer inner products of two matrices of one kind."""
+    s = block @ rows.T
+    return s.astype(np.int64) if s.dtype == np.float64 else s
+
+
+def to_long(s: np.ndarray) -> pa.Array:
+    return pa.array(np.clip(s, -(1 << 63), (1 << 63) - 1).astype(np.int64))
+
+
+def order_text(s: np.ndarray) -> pa.Array:
+    """Text in the order of whole numbers of any size, null for numbers that a long holds: sign, number of digits, digits (their complements below 0)."""
+    if s.dtype != object:
+        return pa.nulls(len(s), pa.string())
+
+    def one(x: int) -> str:
+        digits = str(abs(x))
+        return f"1{len(digits):05d}{digits}" if x >= 0 else f"0{99999 - len(digits):05d}{digits.translate(_NINES)}"
+
+    return pa.array(map(one, s), pa.string())
+
+
+def _rows(batches: Iterator[pa.RecordBatch], dim: int, bound: int, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
         for lo in range(0, b.num_rows, most):
             part = b.slice(lo, most)
-            yield np.asarray(part.column(0)), np.asarray(part.column(1).flatten()).reshape(-1, dim)
+            yield np.asarray(part.column(0)), as_kind(np.asarray(part.column(1).flatten()).reshape(-1, dim), bound)
 
 
 def _select(spark: SparkSession, rows: DataFrame, ids: np.ndarray, q: np.ndarray, bound: int, k: int) -> DataFrame:
-    """Rows (query_id, vec_id, score) that can be among a query's k highest: all above the k-th score, at it each task's k smallest ids."""
-    dim, exact = q.shape[1], bound < _EXACT
-    lo, width = np.full(len(ids), -bound), np.full(len(ids), 2 * bound + 1)  # the k-th score is in [lo, lo + width)
+    """Rows (query_id, vec_id, score, exact: its order where it isn't a long) that can be among a query's k highest: all above the k-th score, at it each task's k smallest ids."""
+    dim, kind = q.shape[1], np.int64 if bound < _WIDE else object
+    q = as_kind(q, bound)
+    lo, width = np.full(len(ids), -bound, kind), np.full(len(ids), 2 * bound + 1, kind)  # the k-th score is in [lo, lo + width)
     need = np.full(len(ids), k)  # the how-manieth from the top, of those below lo + width
     done = np.zeros(len(ids), bool)
     sent = spark.sparkContext.broadcast((ids, q))
     while not done.all():
-        step = np.maximum(1, -(-width // BINS))
+        step = np.maximum(1, (width + BINS - 1) // BINS)
         state = spark.sparkContext.broadcast((lo, width, step, done))
 
         def count(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
@@ -86,11 +114,11 @@ def _select(spark: SparkSession, rows: DataFrame, ids: np.ndarray, q: np.ndarray
             live = np.flatnonzero(~done)
             total = np.zeros((len(live), BINS), np.int64)
             flat = np.arange(len(live))[:, None] * BINS
-            for own, x in _rows(batches, dim):
-                s = scores(q[live], x, exact)
+            for own, x in _rows(batches, dim, bound):
+                s = scores(q[live], x)
                 bin_ = (s - lo[live, None]) // step[live, None]
                 use = (bin_ >= 0) & (s < (lo + width)[live, None]) & (own[None, :] != ids[live, None])
-                total += np.bincount((bin_ + flat)[use], minlength=total.size).reshape(total.shape)
+                total += np.bincount((bin_ + flat)[use].astype(np.int64), minlength=total.size).reshape(total.shape)
             r, b = np.nonzero(total)
             yield pa.record_batch([pa.array(live[r].astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[r, b])], ["r", "b", "n"])
 
@@ -107,25 +135,26 @@ def _select(spark: SparkSession, rows: DataFrame, ids: np.ndarray, q: np.ndarray
             need[r] -= top[j] - hist[r][::-1][j]
             lo[r], width[r] = lo[r] + (BINS - 1 - j) * step[r], step[r]
             done[r] = width[r] == 1
+        state.destroy()
     kth = spark.sparkContext.broadcast(lo)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (ids, q), least = sent.value, kth.value
         tied: dict[int, np.ndarray] = {}
-        cols = ["query_id", "vec_id", "score"]
-        for own, x in _rows(batches, dim):
-            s = scores(q, x, exact)
+        cols = ["query_id", "vec_id", "score", "exact"]
+        for own, x in _rows(batches, dim, bound):
+            s = scores(q, x)
             other = own[None, :] != ids[:, None]
             r, c = np.nonzero((s > least[:, None]) & other)
-            yield pa.record_batch([pa.array(ids[r]), pa.array(own[c]), pa.array(s[r, c])], cols)
+            yield pa.record_batch([pa.array(ids[r]), pa.array(own[c]), to_long(s[r, c]), order_text(s[r, c])], cols)
             r, c = np.nonzero((s == least[:, None]) & other)
             for i in np.unique(r):
                 mine = np.concatenate([tied.get(i, np.zeros(0, np.int64)), own[c[r == i]]])
                 tied[i] = np.sort(mine)[:k]
         for i, mine in tied.items():
-            yield pa.record_batch([pa.array(np.full(len(mine), ids[i])), pa.array(mine), pa.array(np.full(len(mine), least[i]))], cols)
+            yield pa.record_batch([pa.array(np.full(len(mine), ids[i])), pa.array(mine), to_long(np.full(len(mine), least[i])), order_text(np.full(len(mine), least[i], least.dtype))], cols)
 
-    return rows.mapInArrow(keep, "query_id long, vec_id long, score long")
+    return rows.mapInArrow(keep, "query_id long, vec_id long, score long, exact string")
 
 
 def top_k(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -136,16 +165,14 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", ve
     spark = vectors.sparkSession
     rows = written(quantised(vectors, key, vector), "quantised")
     found = None
-    for dim, norm in sorted((int(r["dim"]), float(r["norm"])) for r in rows.groupBy("dim").agg(F.max("norm").alias("norm")).collect()):
-        bound = int(norm * norm * 1.0001) + 1
-        if bound >= 1 << 61:
-            raise ValueError("the vectors are too long for a 64-bit score")
+    for dim, norm, most in sorted((int(r["dim"]), float(r["norm"]), float(r["most"])) for r in rows.groupBy("dim").agg(F.max("norm").alias("norm"), F.max("most").alias("most")).collect()):
+        bound = int(norm * norm * 1.0001) + 1 if norm < 1e100 else dim * int(most) ** 2
         same = rows.where(F.col("dim") == dim).select("vec_id", "q")
         ids, q = [], []
 
         def flush() -> None:
             nonlocal found
-            part = _select(spark, same, np.array(ids, np.int64), np.array(q, np.int64), bound, k)
+            part = written(_select(spark, same, np.array(ids, np.int64), np.array(q, np.float64), bound, k), "top")  # each block's results, so that no plan holds them all
             found = part if found is None else found.unionByName(part)
             ids.clear(), q.clear()
 
@@ -158,5 +185,5 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", ve
             flush()
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
