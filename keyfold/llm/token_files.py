@@ -11,7 +11,8 @@ keys (i64), key is known (u8), ids of each document (u32); footer: eleven u64 se
 
 Keys go to files by range, so files in order hold ascending keys; a partition rolls to a new file every few million ids. Files are named by task attempt and
 listed in a manifest of the attempts that counted, so lost executors leave only files that nothing lists. Null texts are
-empty (an end id only); null keys come first; repeated keys are documents of their own, ordered by text hash; an empty table makes no file.
+empty (an end id only); null keys come first; repeated keys are documents of their own, ordered by text hash; texts are encoded whole, however long; an empty table makes no file. Only key and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -151,8 +152,9 @@ class Encoder:
     """Ids of texts by the tokenizers library, each distinct piece of text once.
 
     Byte-level pre-tokenisation never joins a character with a space after it. So texts are cut before each single
-    space between two characters that are no white space; the pieces encode alone as they do in the text. Ids of pieces seen are kept by hash, up to
-    a bounded number of ids, and then from anew.
+    space between two characters that are no white space; the pieces encode alone as they do in the text. Ids of pieces seen are kept by a hash of 64 bits, up to
+    a bounded number of ids, and then from anew; the hash stands for the piece, so of n different pieces two get each other's ids with probability n * n / 2 ** 65.
+    Strings of special tokens in a text are those tokens, as the library has it, unless ``special_as_text``; they have no space, so no cut parts them.
     """
 
     def __init__(self, path: str, special_as_text: bool):
@@ -239,7 +241,7 @@ class Encoder:
         return out, np.diff(per)
 
 
-def encoder(path: str, special_as_text: bool = True) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder for each file and worker process."""
     key = (path, special_as_text)
     if key not in _caches:
@@ -268,12 +270,13 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, special_as_text: bool = True, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, special_as_text: bool = False, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the files and returns their manifest: part, seq, path, n_docs, n_ids (a written table of a row a file)."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange(n, "k").sortWithinPartitions("k", F.xxhash64("t"))
+    rows = rows.withColumns({"h": F.xxhash64("t"), "u": F.monotonically_increasing_id()})  # rows that share a key, or have none, go to files by their texts
+    rows = rows.repartitionByRange(n, "k", "h", "u").sortWithinPartitions("k", "h", "u").select("k", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(tokenizer, special_as_text), TaskContext.get()
