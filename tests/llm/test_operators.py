@@ -199,10 +199,32 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty).isEmpty()
 
 
-def test_grid(spark):
-    df = spark.range(1, 200_000, 37).select("id", packing.on_grid(F.col("id")).alias("g")).toPandas()
-    assert (df["g"] >= df["id"]).all() and df["g"].is_monotonic_increasing
-    assert ((df["g"] - df["id"]) <= np.where(df["id"] <= 4096, 0, df["id"] / 256 + 1)).all()
+def test_long_lengths_are_exact(spark):
+    r = random.Random(6)
+    lengths = [r.randrange(4_000, 20_000) for _ in range(120)] + [r.randrange(50) for _ in range(300)]
+    values, counts = np.unique(lengths, return_counts=True)
+
+    def padding(bounds):
+        return int(sum((bounds[np.searchsorted(bounds, n)] - n) for n in lengths))
+
+    for k in (1, 2, 7, 16):
+        rows, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * values)])
+        best = np.full(len(values) + 1, 1 << 60)
+        best[0] = 0
+        for _ in range(k):  # the plain quadratic program
+            best = np.array([0, *(min(best[i] + values[j - 1] * (rows[j] - rows[i]) - (total[j] - total[i]) for i in range(j)) for j in range(1, len(values) + 1))])
+        bounds = packing.boundaries(values, counts, k)
+        assert padding(np.array(bounds)) == best[-1] and bounds[-1] == max(lengths) and len(bounds) == k
+    many = np.arange(1, 200_001)
+    assert len(packing.boundaries(many, np.ones_like(many), 16)) == 16
+
+
+def test_rows_of_one_id_are_spread(spark):
+    same = spark.createDataFrame([(None, "a b")] * 400 + [(1, "a b")] * 400, "doc_id long, text string")
+    out = packing.pack(same, 2, 10).toPandas()
+    assert len(out) == 800 and out.groupby("batch").size().max() == 5 and not out.duplicated(["batch", "place"]).any()
+    slots = sharding.shard_report(same).toPandas()
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in slots.groupby("shard"))
 
 
 # ---- 3
@@ -578,6 +600,15 @@ def test_exact_top_k(spark, block, monkeypatch):
     assert topk.top_k(df.where("false"), "true", 5).isEmpty()
 
 
+def test_huge_components_keep_their_order(spark):
+    rows = [(i, [float(2**40 + i), float(-i)]) for i in range(12)] + [(20, [1e18, 3.0]), (21, [-1e18, 1e150]), (22, [1e160, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 5 = 0", 3).collect()
+    q = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    for i in (0, 5, 10, 20):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i)[:3]
+        assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == i] == [(n, j, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, j) in enumerate(best, 1)]
+
+
 # ---- 9
 
 
@@ -590,10 +621,10 @@ def test_token_files(spark, docs, empty, tokenizer):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
-    odd = [(2000, "tabs\tand  double  spaces \n new\nlines "), (2001, " lead"), (2002, "x y 　z  w"), (2003, "<|endoftext|> stays"), (2004, "ñ é à ü €10 日本 語"), (2005, "don't we'll  'tis")]
+    odd = [(2000, "tabs\tand  double  spaces \n new\nlines "), (2001, " lead"), (2002, "x y 　z  w"), (2003, "<|endoftext|> stays"), (2006, "so <|endoftext|> does<|endoftext|>this <|endoftext|>"), (2004, "ñ é à ü €10 日本 語"), (2005, "don't we'll  'tis")]
     df = docs.where("doc_id <> 1004").unionByName(spark.createDataFrame([(i, x, "en", "s", 1) for i, x in odd], DOCS))
     got = token_files.token_report(clashing(df), tokenizer).toPandas().sort_values("doc_id")
+    assert t.encode("<|endoftext|> stays", add_special_tokens=False).ids[0] == 50256
     start = 0
     texts = {r.doc_id: r.text or "" for r in df.collect()}
     assert len(got) == len(texts)
@@ -604,6 +635,18 @@ def test_token_files(spark, docs, empty, tokenizer):
     assert token_files.token_report(empty, tokenizer).isEmpty()
 
 
+def test_rows_that_share_an_id_are_documents(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    rows = [(3, "one text"), (3, "another text"), (3, "one text"), (None, "no id"), (None, "none here"), (1, "first")]
+    got = token_files.token_report(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer).collect()
+    want = collections.Counter((i, zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, x in rows)
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    by_start = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in by_start] == [None, None, 1, 3, 3, 3] and all(a.start + a.n_tokens == b.start for a, b in zip(by_start, by_start[1:]))
+
+
 def test_many_files_and_null_keys(spark, tokenizer, tmp_path):
     df = spark.createDataFrame([(None, "no key")] + [(i, f"text number {i} " * 5) for i in range(50)], "doc_id long, text string")
     manifest = token_files.write_tokens(df, f"file://{tmp_path}/t", tokenizer, file_ids=40)
