@@ -275,6 +275,87 @@ def test_distributions_sum_to_one(spark):
     assert scored["score"].sum() > 0.75 * scored["base_score"].sum()  # each word has two successors of eight
 
 
+def brute_tree_scores(training, texts, least, gain, depth=3):
+    """log10 scores by dictionaries and recursion over contexts as tuples of words."""
+    end = "\0end"
+    seqs = [[end, *split(t), end] for t in training]
+    c1 = collections.Counter(w for q in seqs for w in q[1:])
+    n, v = sum(c1.values()), len(c1)
+    least = max(3.0, least * n)
+    often = {w for w, c in c1.items() if c >= least}
+    lists, counts = [], {(w,): c1[w] for w in often}
+    for length in range(1, depth + 1):
+        c = collections.Counter()
+        for q in seqs:
+            for i in range(max(length, 1), len(q)):
+                ctx = tuple(q[i - length : i])
+                if q[i] in often and ctx in counts and (length == 1 or end not in ctx):
+                    c[(*ctx, q[i])] += 1
+        level = {k: x for k, x in c.items() if x >= least and (length == 1 or k[1:] in lists[-1])}
+        lists.append(level)
+        counts.update(level)
+    root = {w: (c1[w] + 0.5) / (n + 0.5 * (v + 1)) for w in c1}
+    unknown = 0.5 / (n + 0.5 * (v + 1))
+    kept, p, rest = set(), {}, {}
+
+    def prob(ctx, w):
+        if not ctx:
+            return root.get(w, unknown)
+        if ctx not in kept:
+            return prob(ctx[1:], w)
+        return p[ctx, w] if (ctx, w) in p else rest[ctx] * prob(ctx[1:], w)
+
+    for level in lists:
+        by = collections.defaultdict(dict)
+        for k, x in level.items():
+            by[k[:-1]][k[-1]] = x
+        new = []
+        for ctx, symbols in by.items():
+            mass = sum(symbols.values())
+            seen = max(counts[ctx], mass)
+            own = {w: (x - 0.5) / seen for w, x in symbols.items()}
+            left = (1 - sum(own.values())) / (1 - sum(prob(ctx[1:], w) for w in symbols))
+            better = sum(x * math.log(own[w] / prob(ctx[1:], w)) for w, x in symbols.items()) + (seen - mass) * math.log(left)
+            if better > gain:
+                new.append((ctx, own, left))
+        for ctx, own, left in new:
+            kept.add(ctx)
+            rest[ctx] = left
+            p.update({(ctx, w): x for w, x in own.items()})
+    out = []
+    for t in texts:
+        q = [end, *split(t), end]
+        total = 0.0
+        for i in range(1, len(q)):
+            ctx = next((tuple(q[i - k : i]) for k in range(min(depth, i), 0, -1) if tuple(q[i - k : i]) in kept and (k == 1 or end not in q[i - k : i])), ())
+            total += math.log10(prob(ctx, q[i]))
+        out.append(total)
+    return out, len(kept)
+
+
+def test_scores_by_brute_force_whatever_the_layout(spark, monkeypatch):
+    """Rows sorted by language, in one partition and in sixteen, with small flushes: the same scores, and those of dictionaries."""
+    r = random.Random(10)
+    rows = []
+    for lang in "abc":
+        words = [f"{lang}{i}" for i in range(25)]
+        follow = {w: r.sample(words, 3) for w in words}
+        for _ in range(60):
+            t = [r.choice(words)]
+            for _ in range(r.randrange(40)):
+                t.append(r.choice(follow[t[-1]]) if r.random() < 0.9 else r.choice(words))
+            rows.append((len(rows), " ".join(t)))
+    rows += [(900, None), (901, "never seen words"), (902, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").orderBy("doc_id")
+    want, kept = brute_tree_scores([t for _, t in rows], [t for _, t in rows], 0.002, 4.0)
+    assert kept > 30
+    monkeypatch.setattr(suffix_tree, "FLUSH", 300)
+    for parts in (1, 16):
+        some = df.coalesce(1) if parts == 1 else df.repartitionByRange(parts, "doc_id")
+        got = suffix_tree.score(some, *suffix_tree.fit(some, least=0.002, gain=4.0), [F.col("doc_id")]).toPandas().sort_values("doc_id")
+        assert np.allclose(got["score"], want, rtol=1e-9)
+
+
 def test_suffix_tree_on_nothing(spark, empty):
     assert suffix_tree.score_report(empty).isEmpty()
     one = spark.createDataFrame([(1, None), (2, "x")], "doc_id long, text string")
