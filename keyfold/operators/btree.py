@@ -69,7 +69,8 @@ def position(elements: DataFrame, asked: DataFrame, descending: bool = False) ->
 def get_by_position(elements: DataFrame, p: int, q: int, descending: bool = False) -> DataFrame:
     """Per key: elements of ranks p..q (from 0, cut at the end; read backwards if p > q), with ``position`` and ``rank`` from 1 in the order read."""
     lo, hi = min(p, q), max(p, q)
-    found = ranked(elements, descending).where(F.col("position").between(lo, hi))
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("bkey") if descending else F.asc("bkey")))
+    found = elements.withColumn("_r", first).where((F.col("_r") <= hi + 1) & (F.col("_r") > lo)).withColumn("position", F.col("_r") - 1).drop("_r")
     order = F.asc("position") if p <= q else F.desc("position")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(order)))
 

@@ -29,7 +29,8 @@ def get(elements: DataFrame, i: int, j: int | None = None) -> DataFrame:
     j = i if j is None else j
     if min(i, j) >= 0:
         own = Window.partitionBy("key")
-        found = elements.withColumn("idx", F.row_number().over(own.orderBy("seq")) - 1).where((F.col("idx") <= max(i, j)) & (F.col("idx") >= min(i, j)))
+        found = elements.withColumn("_r", F.row_number().over(own.orderBy("seq"))).where((F.col("_r") <= max(i, j) + 1) & (F.col("_r") > min(i, j)))
+        found = found.withColumn("idx", F.col("_r") - 1).drop("_r")
         rank = F.col("idx") - i + 1 if i <= j else F.max("idx").over(own) - F.col("idx") + 1  # of the few that are left
         return found.withColumn("rank", rank.cast("long"))
     a, b, out = _bounds(i, j)

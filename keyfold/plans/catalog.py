@@ -393,10 +393,14 @@ def bop_update_eflag(s, d):
     return _trees(s, d).select("key", "bkey", F.hex(fb.eflag_update(C("eflag"), b"\x05", "XOR", 0)).alias("eflag"))
 
 
-@query("WITH x AS (SELECT 'user:' || user_id AS key, event_id % 20 AS bkey, sum(event_id) AS d FROM events GROUP BY 1, 2) SELECT key, bkey, CAST(d + 10 AS VARCHAR) AS value FROM x")
+@query("""WITH x AS (SELECT 'user:' || user_id AS key, event_id % 20 AS bkey, sum(event_id) AS d, min(event_id) AS first, user_id % 2 = 0 AS there FROM events GROUP BY 1, 2, 5)
+  SELECT key, bkey, CAST(CASE WHEN there THEN d + 10 ELSE d - first + 10 END AS VARCHAR) AS value FROM x""")
 def bop_incr_fold(s, d):
-    log = model.event_commands(s, d).select(F.concat_ws("#", "key", C("seq") % 20).alias("key"), C("seq").alias("delta"))
-    out = kv.incr_fold(log.select("key").distinct().withColumn("value", F.lit("10")), log)
+    """Elements counted up under a composed key; where they are absent, the first command makes them with its initial value."""
+    e = T(s, d, "events")
+    key = F.concat_ws("#", F.concat(F.lit("user:"), "user_id"), C("event_id") % 20)
+    log = e.select(key.alias("key"), C("event_id").alias("seq"), C("event_id").alias("delta"), F.lit("10").alias("initial"))
+    out = kv.incr_fold(e.where("user_id % 2 = 0").select(key.alias("key")).distinct().withColumn("value", F.lit("10")), log)
     return out.select(F.split_part("key", F.lit("#"), F.lit(1)).alias("key"), F.split_part("key", F.lit("#"), F.lit(2)).cast("long").alias("bkey"), C("value").cast("string").alias("value"))
 
 

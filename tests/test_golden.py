@@ -8,6 +8,7 @@ from keyfold.functions import bytes as fb
 from keyfold.functions import keys as fk
 from keyfold.functions import ring
 from keyfold.operators import attributes, btree, fold, kv, lists, maps, pipeline, retention, scan, sets, smget, stats
+from keyfold.sources import commands
 
 
 @pytest.fixture(scope="module")
@@ -296,3 +297,109 @@ def test_batches(spark):
 
 def test_flush_marks():
     assert retention.flush_mark(100) == 99 and retention.flush_mark(100, 10) == 109
+
+
+# ---- repeats, statuses, plans
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_position_of_repeated_requests(spark):
+    e = spark.createDataFrame([("k", x) for x in (1, 2, 3, 4)], "key string, bkey long")
+    asked = spark.createDataFrame([("k", 3), ("k", 3), ("k", 9), ("absent", 1)], "key string, bkey long")
+    assert [(r.key, r.bkey, r.position) for r in btree.position(e, asked).collect()] == [("k", 3, 2)]
+    near = btree.position_with_get(e, asked, 1).orderBy("position").collect()
+    assert [(r.asked, r.bkey, r.position, r["index"]) for r in near] == [(3, 2, 1, 1), (3, 3, 2, 1), (3, 4, 3, 1)]
+
+
+def test_repeated_updates_leave_one_row(spark):
+    e = spark.createDataFrame([("k", x, "old") for x in (1, 2, 3, 4)], "key string, bkey long, value string")
+    u = spark.createDataFrame([("k", 2, "a", 1), ("k", 2, "b", 2), ("k", 9, "c", 3)], "key string, bkey long, value string, seq long")
+    assert {(r.bkey, r.value) for r in btree.bulk_update(e, u).collect()} == {(1, "old"), (2, "b"), (3, "old"), (4, "old")}
+    assert btree.bulk_update(e, u).count() == 4
+    m, mu = e.withColumn("field", F.col("bkey").cast("string")).drop("bkey"), u.withColumn("field", F.col("bkey").cast("string")).drop("bkey")
+    assert sorted((r.field, r.value) for r in maps.update(m, mu).collect()) == [("1", "old"), ("2", "b"), ("3", "old"), ("4", "old")]
+
+
+def test_increments_of_words_and_absent_keys(spark):
+    items = spark.createDataFrame([("n", "10"), ("w", "ten"), ("big", "18446744073709551615")], "key string, value string")
+    log = spark.createDataFrame([("n", 1, "8", None), ("w", 2, "1", None), ("big", 3, "1", None), ("bogus", 4, "5", None), ("new", 5, "5", None), ("new", 6, "5", "7"), ("new", 7, "2", "9"), ("n", 8, "1", "99")], "key string, seq long, delta string, initial string")
+    got = {r.key: (None if r.value is None else int(r.value), r.status) for r in kv.incr_fold(items, log).collect()}
+    assert got == {"n": (19, "OK"), "w": (None, "EINVAL"), "big": (0, "OK"), "bogus": (None, "NOT_FOUND"), "new": (9, "OK")}
+    down = {r.key: (None if r.value is None else int(r.value), r.status) for r in kv.decr_fold(items, log.drop("initial")).collect()}
+    assert down["n"] == (1, "OK") and down["bogus"] == (None, "NOT_FOUND") and down["w"] == (None, "EINVAL")
+
+
+def test_getrim(spark):
+    tree = spark.createDataFrame([("k", x, f"k-data-{x}") for x in range(1, 11)], "key string, bkey long, value string")
+
+    def one(bkey, action="smallest_trim", n=10):
+        return tuple(btree.insert_each(tree, spark.createDataFrame([("k", bkey)], "key string, bkey long"), n, action).first())[2:]
+
+    assert one(11) == ("STORED", 1, "k-data-1") and one(0, "largest_trim") == ("STORED", 10, "k-data-10")
+    assert one(0) == ("OUT_OF_RANGE", None, None) and one(5) == ("ELEMENT_EXISTS", None, None)
+    assert one(11, "error") == ("OVERFLOWED", None, None) and one(11, n=11) == ("STORED", None, None) and one(11, "smallest_silent_trim") == ("STORED", None, None)
+
+
+@pytest.mark.parametrize("idx, action, want", [(0, "tail_trim", "xabc"), (-1, "tail_trim", "bcdx"), (2, "tail_trim", "abxc"), (2, "head_trim", "bxcd"), (-2, "head_trim", "bcxd"), (-2, "tail_trim", "abcx"), (5, "tail_trim", "OUT_OF_RANGE"), (1, "error", "OVERFLOWED")])
+def test_list_insert(spark, idx, action, want):
+    e = spark.createDataFrame([("k", i, v) for i, v in enumerate("abcd")] + [("other", 0, "o")], "key string, seq long, value string")
+    rows, status = lists.insert(e, spark.createDataFrame([("k", idx, "x")], "key string, idx long, value string"), 4, action)
+    got = "".join(r.value for r in rows.where("key = 'k'").orderBy("idx").collect())
+    assert (got, status.first().status) == ((want, "STORED") if len(want) == 4 else ("abcd", want))
+    assert [r.value for r in rows.where("key = 'other'").collect()] == ["o"]
+
+
+def test_key_lists_are_no_keys(spark):
+    lines = spark.createDataFrame([("mget 11 2",), ("bop smget 11 2 0..100 10",), ("bop get k 0..9",), ("mgets 3 1 noreply",)], "value string")
+    got = [(r.op, r.key, r.arguments, r.noreply) for r in commands.parse(lines).collect()]
+    assert got == [("mget", None, ["11", "2"], False), ("bop smget", None, ["11", "2", "0..100", "10"], False), ("bop get", "k", ["0..9"], False), ("mgets", None, ["3", "1"], True)]
+
+
+def test_statuses_of_key_lists(spark):
+    items = spark.createDataFrame([("t", "btree", True, "smallest_trim", True, "number"), ("l", "list", True, "tail_trim", False, None), ("u", "btree", False, "smallest_trim", False, "number"), ("e", "btree", True, "smallest_trim", False, None), ("h", "btree", True, "smallest_trim", False, "binary")], "key string, type string, readable boolean, ovflaction string, trimmed boolean, bkeytype string")
+    e = spark.createDataFrame([("t", x, "v") for x in (30, 40, 50)] + [("h", 1, "v")], "key string, bkey long, value string")
+    keys = spark.createDataFrame([(i, k) for i, k in enumerate(["t", "l", "u", "e", "none", "t"])], "pos long, key string")
+    got = sorted((r.pos, r.status, r.bkey) for r in btree.mget(items, e, keys, 10, 40, 0, 5).collect())
+    assert got == [(0, "TRIMMED", 30), (0, "TRIMMED", 40), (1, "TYPE_MISMATCH", None), (2, "UNREADABLE", None), (3, "NOT_FOUND_ELEMENT", None), (4, "NOT_FOUND", None), (5, "TRIMMED", 30), (5, "TRIMMED", 40)]
+    assert [r.status for r in btree.mget(items, e, keys.where("pos = 0"), 10, 20, 0, 5).collect()] == ["OUT_OF_RANGE"]
+    asked = spark.createDataFrame([(1, "h", 0, 9, 0, 0), (2, "t", 30, 99, 0, 0)], "req long, key string, a long, b long, offset long, count long")
+    assert {r.req: r.status for r in btree.read_status(asked, items, e, kind="number").collect()} == {1: "BKEY_MISMATCH", 2: "END"}
+    with pytest.raises(ValueError, match="BKEY_MISMATCH"):
+        smget.check(items.where("type = 'btree'"), spark.createDataFrame([("h",)], "key string"), "number")
+
+
+def test_attributes_of_single_values_and_creation(spark):
+    items = spark.createDataFrame([("v", "kv"), ("b", "btree")], "key string, type string")
+    asked = spark.createDataFrame([("v",), ("b",), ("x",)], "key string")
+    assert {r.key: r.status for r in attributes.getattr_status(items, asked, ["type", "maxcount"]).collect()} == {"v": "EBADATTR", "b": "OK", "x": "NOT_FOUND"}
+    assert {r.key: r.status for r in attributes.getattr_status(items, asked, ["type"]).collect()} == {"v": "OK", "b": "OK", "x": "NOT_FOUND"}
+    after, statuses = attributes.create(items, spark.createDataFrame([("v", "set", 1), ("n", "set", 3), ("n", "list", 2)], "key string, type string, seq long"))
+    assert {(r.key, r.seq, r.status) for r in statuses.collect()} == {("v", 1, "EXISTS"), ("n", 2, "CREATED"), ("n", 3, "EXISTS")}
+    assert {(r.key, r.type) for r in after.collect()} == {("v", "kv"), ("b", "btree"), ("n", "list")}
+
+
+def test_range_bounds_of_long_binary_keys(spark):
+    import random
+
+    r = random.Random(3)
+    for size in (1, 6, 7, 8, 15, 31):
+        pairs = [(bytes(r.randrange(256) for _ in range(r.randrange(1, 32))), bytes(r.randrange(256) for _ in range(r.randrange(1, 32)))) for _ in range(60)]
+        pairs += [(a, a[: r.randrange(1, len(a) + 1)]) for a, _ in pairs[:20]]
+        limit = bytes(r.randrange(256) for _ in range(size))
+        df = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in pairs], "h binary, l binary")
+        got = [x[0] for x in df.select(fb.within_range(limit)("h", "l")).collect()]
+        assert got == [fb.padded_difference(a, b, size) <= int.from_bytes(limit, "big") for a, b in pairs]
+
+
+def test_plans(spark):
+    e = spark.range(100).select(F.concat(F.lit("k"), F.col("id") % 7).alias("key"), F.col("id").alias("seq"), F.col("id").alias("bkey"), F.lit("v").alias("value"))
+    assert "WindowGroupLimit" in plan_of(lists.get(e, 1, 3))
+    nodes = spark.createDataFrame([("a:1",), ("b:1",)], "node string")
+    assert "hashpartitioning(hash" not in plan_of(ring.lookup(e.select("key"), ring.build(nodes))) and "BroadcastHashJoin" in plan_of(ring.lookup(e.select("key"), ring.build(nodes)))
+    far, near = ring._lookup_by_ranges(e.select("key").distinct(), ring.build(nodes)), ring.lookup(e.select("key").distinct(), ring.build(nodes))
+    assert sorted(map(tuple, far.collect())) == sorted(map(tuple, near.select(far.columns).collect()))
+    asked = e.select("key", F.col("bkey"))
+    assert "CartesianProduct" not in plan_of(btree.position(e, asked)) and "NestedLoop" not in plan_of(btree.position_with_get(e, asked, 2))
