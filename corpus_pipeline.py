@@ -2,7 +2,11 @@
 
 toxicity and quality reject documents, near duplicates leave one document of each class (five-word shingles, similarity 0.8), decontamination
 drops documents that hold a benchmark passage, and packing returns doc_id, n_tokens, bucket, padded_to, batch and place of what is left. All but packing
-return the columns of their input. Empty tables pass through all stages.
+return the columns of their input, whatever their names.
+
+Empty tables pass through all stages. Null and empty texts are neither toxic nor leaks nor copies; as to quality they have log weight 0. Rows without an id pass toxicity, quality and decontamination by
+their text, and near duplicates as they are. Rows that share an id are documents of their own: of (4, A), (5, A), (5, B) near duplicates leave (4, A), (5, B); of equal rows one stays.
+Texts of any length are taken whole. Ties: a score at a threshold rejects; of a class the smallest doc_id stays, then the smallest text hash; rows that tie at the quality cut all stay.
 """
 
 from __future__ import annotations
