@@ -62,6 +62,35 @@ def clashing(df):
     return df
 
 
+# ---- all
+
+
+def test_rows_without_ids_and_with_shared_ids(spark, labels):
+    """Every operator takes rows without an id, rows that share an id with other texts or their own, empty and very long texts, beside columns of any name."""
+    texts = [(None, "no id here at all"), (None, None), (None, "no id here at all"), (5, "five has this text"), (5, "and this other one"), (5, "five has this text"), (6, ""), (7, "long " * 60_000), (8, " ")]
+    df = clashing(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS)).repartition(2)
+    words = collections.Counter((i, len(split(t))) for i, t in texts)
+    ids = collections.Counter(i for i, _ in texts)
+
+    def of(rows, *names):
+        return collections.Counter(tuple(r[n] for n in names) for r in rows.collect())
+
+    every = importance.resample(df, labels, k=100)
+    assert collections.Counter(r.row.doc_id for r in every.collect()) == ids and importance.quality_report(df, labels).columns == ["doc_id", "log_weight", "perturbed"]
+    assert of(packing.pack(df, 3, 50), "doc_id", "n_tokens") == words
+    assert of(suffix_tree.score_report(df), "doc_id", "n_tokens") == collections.Counter({(i, n + 1): c for (i, n), c in words.items()})
+    assert sum(of(toxicity.toxicity_report(df, labels), "doc_id").values()) == len(texts)
+    assert of(sharding.shard_report(df), "doc_id", "size") == collections.Counter((i, len((t or "").encode()) + 8) for i, t in texts)
+    items = spark.createDataFrame([(1, "five has this text"), (2, "long " * 30)], "item_id long, text string")
+    assert decontamination.leaks(df, items).count() == 1 and decontamination.without_leaks(df, items).count() == len(texts) - 1
+    found = license_scan.scan(df, spark.createDataFrame([("F", "and this other one"), ("N", "no id here at all")], "template_id string, text string"))
+    assert of(found, "doc_id", "template_id") == collections.Counter([(5, "F"), (None, "N")])
+    got = of(jaccard_join.link_components(df, 3, 90), "doc_id", "n_shingles", "component_id")
+    assert got == collections.Counter([(None, 3, None), (None, 3, None), (None, 0, None), (5, 2, 5), (5, 2, 5), (5, 2, 5), (6, 0, 6), (7, 1, 7), (8, 0, 8)])
+    left = collections.Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(df).collect())
+    assert left == collections.Counter({**collections.Counter(texts), (5, "five has this text"): 1})
+
+
 # ---- 1
 
 
