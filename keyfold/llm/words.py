@@ -125,6 +125,7 @@ def pieces(column: pa.Array | pa.ChunkedArray, most: int = PIECE) -> Iterator[tu
         hi = min(max(hi, lo + 1), lo + ROWS, len(column))
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()  # a worker holds one batch, not what earlier ones needed
 
 
 def find_words(raw: np.ndarray, off: np.ndarray, classes: np.ndarray = _IS_WORD) -> Words:
