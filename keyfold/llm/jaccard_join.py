@@ -12,9 +12,9 @@ Most candidates only share a passage. A parity bitmap of each set, of one to two
 their bitmaps do in bits. Only pairs that this bound lets through move their sets.
 
 Frequency classes come from counts over all texts: shingles in more than ``RARE`` texts are frequent (the most frequent ``TABLE``, if there are more, which changes
-costs only). Candidates are verified by exact intersection, in three rounds: every member of a bucket against the bucket's ``HEADS`` heads (the least members by as many hashes);
-then, in buckets that still hold several components, what is outside the largest one against ``MEMBERS`` members of it; then, where several are left, against all of other components. A pair comes through at the least key
-that both share among their least keys, so near copies, which share most keys, meet once. So every link between components is found, but no group of copies expands into its pairs.
+costs only). Candidates are verified by exact intersection, in two rounds: every member of a bucket against the bucket's ``HEADS`` heads (the least members by as many hashes);
+then, in buckets that still hold several components, what is outside the largest one against all of other components. In buckets of more than ``SMALL`` sets, a pair comes through only at the least key
+that both share among their ``LOW`` least ones, so near copies, which share most keys, meet once. So every link between components is found, but no group of copies expands into its pairs.
 
 Null and empty texts have no set and are a class of their own row. Texts with fewer than k words have one shingle; texts of any length are taken whole. Rows that repeat a set
 (with equal ids or not) are one node; rows with equal ids and different sets are nodes of their own. Rows without an id link to nothing and have no class. An empty table gives
@@ -40,8 +40,8 @@ from keyfold.llm.words import mix, seeded, shingles, words_of
 RARE = 12
 CROWDED = 256  # texts from which a shingle is indexed in threes
 HEADS = 3  # members of a bucket that all others are held against
-MEMBERS = 16  # members of a bucket's largest component that the others are held against before all meet
-LOW = 8  # least keys of a set by which a pair's first meeting is told
+LOW = 24  # least keys of a set by which a pair's first meeting is told
+SMALL = 32  # sets of a bucket in which all pairs may meet again
 TABLE = 1 << 21
 _BITS = 48
 SHORT = 8  # longs of the bitmap that candidate joins compare
@@ -108,7 +108,7 @@ def frequent(docs: DataFrame, k: int, text: str, above: int = RARE, limit: int =
             for _, _, x, _ in sets_of(b.column(0), k):
                 kept.append(x >> cut)
                 size += len(x)
-                if size > 2 << 20:
+                if size > 1 << 20:
                     yield flush()
                     size = 0
         if size:
@@ -373,19 +373,15 @@ def linked(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str
     classes = nodes.select("sig", "doc_id").join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     classes = written(classes, "classes")
 
-    for most in (MEMBERS, None):
-        apart = written(still_apart(buckets, classes, sets), "apart")
-        if apart.isEmpty():
-            break
-        more = written(near(meeting(apart, percent, most), sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = written(verified(more, tokens_of(docs, ends(more, nodes), k, key, text), percent), "links")
-        pairs = pairs.unionByName(more)
-        if not links.isEmpty():  # links between components
-            for end in ("a", "b"):
-                links = links.join(classes.select(F.col("sig").alias(end), F.col("component").alias(f"_{end}")), end)
-            merged = components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_to"))
-            classes = written(classes.join(merged, "component", "left").select("sig", "doc_id", F.coalesce("_to", "component").alias("component")), "classes")
-        discard(apart)
+    apart = written(still_apart(buckets, classes, sets), "apart")
+    more = written(near(meeting(apart, percent), sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = written(verified(more, tokens_of(docs, ends(more, nodes), k, key, text), percent), "links")
+    if not links.isEmpty():  # links between components
+        for end in ("a", "b"):
+            links = links.join(classes.select(F.col("sig").alias(end), F.col("component").alias(f"_{end}")), end)
+        merged = components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        classes = written(classes.join(merged, "component", "left").select("sig", "doc_id", F.coalesce("_to", "component").alias("component")), "classes")
+    discard(apart, pairs, more)
     discard(sets, buckets, nodes)
     return Linked(rows.select("doc_id", "mark", "n", "sig"), classes)
 
@@ -405,17 +401,14 @@ def still_apart(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> Data
     """The buckets that hold several components: key, node, component, main (the bucket's largest component), with what rules pairs out."""
     known = buckets.select("key", "node").join(classes.select(F.col("sig").alias("node"), "component"), "node")
     parts = known.groupBy("key", "component").agg(F.count("*").alias("size"))
-    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    return known.join(parts, "key").join(sets.select(F.col("sig").alias("node"), "n", "m", "low", *_Q), "node")
+    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1")
+    apart = known.join(parts.select("key", "main", "size"), "key").join(sets.select(F.col("sig").alias("node"), "n", "m", "low", *_Q), "node")
+    return apart.withColumn("low", F.when(F.col("size") > SMALL, F.col("low"))).drop("size")
 
 
-def meeting(apart: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Pairs (a < b) of different components that meet in a bucket and that sizes and short bitmaps don't rule out; with ``most``, only those with so many members of the bucket's largest
-    component, the same ones in most buckets: that joins most of what a group of copies has left over, before all that is still apart meets."""
+def meeting(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components that meet in a bucket and that sizes and short bitmaps don't rule out."""
     a, b = apart.where("component <> main").alias("a"), apart.alias("b")
-    if most is not None:
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(HEADS)), "node")
-        b = apart.where("component = main").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r").alias("b")
     total = F.col("a.n") + F.col("b.n")
     differ = sum((F.bit_count(F.col(f"a.{q}").bitwiseXOR(F.col(f"b.{q}"))) for q in _Q[1:]), F.bit_count(F.col("a.q0").bitwiseXOR(F.col("b.q0"))))
     once = (F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
