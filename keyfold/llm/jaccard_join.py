@@ -248,7 +248,7 @@ def bits_apart(a: bytes, b: bytes) -> int:
 
 
 def profiles(docs: DataFrame, k: int, percent: int, classes: Classes, key: str, text: str) -> DataFrame:
-    """doc_id, mark (hash of the text), uid, n (shingles), m (frequent ones), sig (of the set), bits, q0, q1, ..., keys, low (the least of them) of every row; one narrow pass, written."""
+    """doc_id, mark (hash of the text), uid, n (shingles), m (frequent ones), sig (of the set), bits, q0, q1, ..., keys (ascending) of every row; one narrow pass, written."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,15 +260,12 @@ def profiles(docs: DataFrame, k: int, percent: int, classes: Classes, key: str,
                 keys = keys.view(np.int64)
                 order = np.lexsort((keys, row))
                 keys, edge = keys[order], np.searchsorted(row[order], np.arange(hi - lo + 1))
-                few = np.minimum(np.diff(edge), LOW)
-                least = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + np.repeat(edge[:-1], few)
                 lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(keys))
-                low = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32)), pa.array(keys[least]))
                 cols = [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(uid + np.arange(hi - lo)), pa.array(n), pa.array(sig, mask=n == 0), pa.array(parity_bits(x, off), pa.binary()), pa.array(m)]
                 uid += hi - lo
-                yield pa.RecordBatch.from_arrays([*cols, *short_bits(x, off), lists, low], names=["doc_id", "mark", "uid", "n", "sig", "bits", "m", *_Q, "keys", "low"])
+                yield pa.RecordBatch.from_arrays([*cols, *short_bits(x, off), lists], names=["doc_id", "mark", "uid", "n", "sig", "bits", "m", *_Q, "keys"])
 
-    schema = f"doc_id long, mark long, uid long, n long, sig long, bits binary, m long, {', '.join(f'{q} long' for q in _Q)}, keys array<bigint>, low array<bigint>"
+    schema = f"doc_id long, mark long, uid long, n long, sig long, bits binary, m long, {', '.join(f'{q} long' for q in _Q)}, keys array<bigint>"
     out = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text).mapInArrow(run, schema), "profiles")
     sent.destroy()
     return out
@@ -363,19 +360,23 @@ def linked(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str
     nodes = rows.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sig", "n").agg(F.min(F.struct("doc_id", "uid")).alias("x"))
     nodes = written(nodes.select("sig", "n", "x.*"), "nodes")
     of_nodes = rows.join(nodes.select("uid"), "uid", "left_semi")  # a row for each set
-    sets = written(of_nodes.select("sig", "n", "bits", "m", "low", *_Q), "sets")
+    sets = written(of_nodes.select("sig", "n", "bits", "m", F.slice("keys", 1, LOW).alias("low"), *_Q), "sets")
     buckets = written(shared_keys(of_nodes.select(F.col("sig").alias("node"), F.explode("keys").alias("key"))), "buckets")
 
     met = buckets.select("node", F.explode(F.array_distinct("heads")).alias("head")).where("node <> head")
     pairs = written(near(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), sets, percent), "pairs")
-    links = written(verified(pairs, tokens_of(docs, ends(pairs, nodes), k, key, text), percent), "links")
+    tokens = tokens_of(docs, ends(pairs, nodes), k, key, text)
+    links = written(verified(pairs, tokens, percent), "links")
+    discard(tokens)
     found = components(links)
     classes = nodes.select("sig", "doc_id").join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     classes = written(classes, "classes")
 
     apart = written(still_apart(buckets, classes, sets), "apart")
     more = written(near(meeting(apart, percent), sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = written(verified(more, tokens_of(docs, ends(more, nodes), k, key, text), percent), "links")
+    tokens = tokens_of(docs, ends(more, nodes), k, key, text)
+    links = written(verified(more, tokens, percent), "links")
+    discard(tokens)
     if not links.isEmpty():  # links between components
         for end in ("a", "b"):
             links = links.join(classes.select(F.col("sig").alias(end), F.col("component").alias(f"_{end}")), end)
