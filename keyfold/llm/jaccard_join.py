@@ -13,8 +13,8 @@ their bitmaps do in bits. Only pairs that this bound lets through move their set
 
 Frequency classes come from counts over all texts: shingles in more than ``RARE`` texts are frequent (the most frequent ``TABLE``, if there are more, which changes
 costs only). Candidates are verified by exact intersection, in two rounds: every member of a bucket against the bucket's ``HEADS`` heads (the least members by as many hashes);
-then, in buckets that still hold several components, what is outside the largest one against all of other components. In buckets of more than ``SMALL`` sets, a pair comes through only at the least key
-that both share among their ``LOW`` least ones, so near copies, which share most keys, meet once. So every link between components is found, but no group of copies expands into its pairs.
+then, in buckets that still hold several components, what is outside the largest one against all of other components. Of buckets that hold the same sets one is enough, and a pair comes through only at the least key
+that both share among the ``LOW`` least ones they have left, so texts with a passage in common meet once. So every link between components is found, but no group of copies expands into its pairs.
 
 Null and empty texts have no set and are a class of their own row. Texts with fewer than k words have one shingle; texts of any length are taken whole. Rows that repeat a set
 (with equal ids or not) are one node; rows with equal ids and different sets are nodes of their own. Rows without an id link to nothing and have no class. An empty table gives
@@ -40,8 +40,7 @@ from keyfold.llm.words import mix, seeded, shingles, words_of
 RARE = 12
 CROWDED = 256  # texts from which a shingle is indexed in threes
 HEADS = 3  # members of a bucket that all others are held against
-LOW = 24  # least keys of a set by which a pair's first meeting is told
-SMALL = 32  # sets of a bucket in which all pairs may meet again
+LOW = 24  # least keys of a set, of those in buckets that are still apart, by which a pair's first meeting is told
 TABLE = 1 << 21
 _BITS = 48
 SHORT = 8  # longs of the bitmap that candidate joins compare
@@ -360,7 +359,7 @@ def linked(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str
     nodes = rows.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sig", "n").agg(F.min(F.struct("doc_id", "uid")).alias("x"))
     nodes = written(nodes.select("sig", "n", "x.*"), "nodes")
     of_nodes = rows.join(nodes.select("uid"), "uid", "left_semi")  # a row for each set
-    sets = written(of_nodes.select("sig", "n", "bits", "m", F.slice("keys", 1, LOW).alias("low"), *_Q), "sets")
+    sets = written(of_nodes.select("sig", "n", "bits", "m", *_Q), "sets")
     buckets = written(shared_keys(of_nodes.select(F.col("sig").alias("node"), F.explode("keys").alias("key"))), "buckets")
 
     met = buckets.select("node", F.explode(F.array_distinct("heads")).alias("head")).where("node <> head")
@@ -372,7 +371,7 @@ def linked(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str
     classes = nodes.select("sig", "doc_id").join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     classes = written(classes, "classes")
 
-    apart = written(still_apart(buckets, classes, sets), "apart")
+    apart = still_apart(buckets, classes, sets)
     more = written(near(meeting(apart, percent), sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     tokens = tokens_of(docs, ends(more, nodes), k, key, text)
     links = written(verified(more, tokens, percent), "links")
@@ -399,12 +398,20 @@ def shared_keys(posted: DataFrame) -> DataFrame:
 
 
 def still_apart(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The buckets that hold several components: key, node, component, main (the bucket's largest component), with what rules pairs out."""
+    """The buckets that hold several components: key, node, component, main (the bucket's largest component), with what rules pairs out; written.
+
+    Buckets of the same sets hold the same pairs, so only that of the least key stays. ``low`` has the least keys of what stays for each node.
+    """
     known = buckets.select("key", "node").join(classes.select(F.col("sig").alias("node"), "component"), "node")
-    parts = known.groupBy("key", "component").agg(F.count("*").alias("size"))
-    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1")
-    apart = known.join(parts.select("key", "main", "size"), "key").join(sets.select(F.col("sig").alias("node"), "n", "m", "low", *_Q), "node")
-    return apart.withColumn("low", F.when(F.col("size") > SMALL, F.col("low"))).drop("size")
+    marks = {f"h{i}": F.bit_xor(F.xxhash64("node", F.lit(i))) for i in range(2)}
+    parts = known.groupBy("key", "component").agg(F.count("*").alias("size"), *(m.alias(h) for h, m in marks.items()))
+    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("size"), *(F.bit_xor(h).alias(h) for h in marks))
+    one = parts.where("parts > 1").groupBy("size", *marks).agg(F.min(F.struct("key", "main")).alias("x")).select("x.*")
+    several = written(known.join(one, "key"), "several")
+    low = several.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LOW).alias("low"))
+    apart = written(several.join(low, "node").join(sets.select(F.col("sig").alias("node"), "n", "m", *_Q), "node"), "apart")
+    discard(several)
+    return apart
 
 
 def meeting(apart: DataFrame, percent: int) -> DataFrame:

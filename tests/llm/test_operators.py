@@ -863,6 +863,18 @@ def test_near_copies_meet_once(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in linked.itertuples()} == brute_classes(rows, 3, 90)
 
 
+def test_buckets_of_the_same_sets_meet_once(spark):
+    """Forty buckets of the same six sets and two that hold some of them: a row for each set and different bucket, and each pair once."""
+    posts = [(k, node) for k in range(-20, 20) for node in range(6)] + [(90, node) for node in range(3)] + [(91, 4), (91, 5)]
+    buckets = spark.createDataFrame(posts, "key long, node long")
+    classes = spark.createDataFrame([(i, i, i) for i in range(6)], "sig long, doc_id long, component long")
+    sets = spark.createDataFrame([(i, 100, 100, *[0] * jaccard_join.SHORT) for i in range(6)], f"sig long, n long, m long, {', '.join(f'{q} long' for q in jaccard_join._Q)}")
+    apart = jaccard_join.still_apart(buckets, classes, sets)
+    assert collections.Counter(r.key for r in apart.collect()) == {-20: 6, 90: 3, 91: 2}
+    pairs = jaccard_join.meeting(apart, 90)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == list(itertools.combinations(range(6), 2))
+
+
 def test_runs_of_common_shingles_are_long_enough():
     for percent in (80, 85, 88, 90, 95, 100):
         k = jaccard_join.longest(percent)
