@@ -94,7 +94,12 @@ def mget(items: DataFrame, elements: DataFrame, keys: DataFrame, a: object, b: o
     asked = keys.select("key").distinct()
     some = elements.join(asked, "key", "left_semi")
     requests = asked.select(F.col("key").alias("req"), "key", F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(offset).alias("offset"), F.lit(count).alias("count"))
-    status = read_status(requests, items, some, efilter).select("key", F.when(F.col("status") == "END", "OK").otherwise(F.col("status")).alias("status"))
+    lo, hi = (a, b) if a <= b else (b, a)
+    between = in_range(a, b) & (F.col("bkey") != F.lit(hi if a <= b else lo))
+    matches = in_range(a, b) if efilter is None else in_range(a, b) & efilter
+    # one range for all keys: a combining aggregate counts what read_status needs, and no tree is sorted for it
+    known = some.groupBy("key").agg(*_sizes(), F.count_if(matches).alias("matches"), F.count_if(between).alias("between"))
+    status = _ruled(eligibility(requests, items, known, also=("ovflaction", "trimmed"))).select("key", F.when(F.col("status") == "END", "OK").otherwise(F.col("status")).alias("status"))
     rows = get(some, a, b, offset, count, efilter)
     joined = keys.join(status, "key").join(rows, "key", "left")
     has = F.col("status").isin("OK", "TRIMMED")
@@ -104,13 +109,17 @@ def mget(items: DataFrame, elements: DataFrame, keys: DataFrame, a: object, b: o
 # ---- reads with a status for each request
 
 
-def eligibility(requests: DataFrame, items: DataFrame, sizes: DataFrame, counting: bool = False, kind: str | None = None) -> DataFrame:
+def _sizes() -> list[Column]:
+    return [F.count(F.lit(1)).alias("ccnt"), F.min("bkey").alias("least"), F.max("bkey").alias("most")]
+
+
+def eligibility(requests: DataFrame, items: DataFrame, sizes: DataFrame, counting: bool = False, kind: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """``requests`` with ``status``, the first failing test: NOT_FOUND, TYPE_MISMATCH, UNREADABLE, NOT_FOUND_ELEMENT (empty, or offset at its end), BKEY_MISMATCH, else OK.
 
     ``items``: key, type, readable, and bkeytype (``number``, ``binary`` or null for a tree that never had one) where ``kind`` says which of them is asked for; ``sizes``: key, ccnt.
-    Counting doesn't mind an empty tree.
+    Counting doesn't mind an empty tree. More columns of ``sizes``, and those of ``items`` named in ``also``, stay.
     """
-    known = requests.join(items.select("key", "type", "readable", (F.col("bkeytype") if kind else F.lit(None).cast("string")).alias("bkeytype")), "key", "left").join(sizes, "key", "left")
+    known = requests.join(items.select("key", "type", "readable", (F.col("bkeytype") if kind else F.lit(None).cast("string")).alias("bkeytype"), *also), "key", "left").join(sizes, "key", "left")
     ccnt = F.coalesce("ccnt", F.lit(0))
     empty = F.lit(False) if counting else (ccnt == 0) | (F.coalesce("offset", F.lit(0)) >= ccnt) & (ccnt >= 0)
     other = F.coalesce(F.col("bkeytype") != F.lit(kind), F.lit(False))
@@ -142,11 +151,13 @@ def read_status(requests: DataFrame, items: DataFrame, elements: DataFrame, efil
     not run over the edge if its limit stops it before, or its end is the edge; but the first element met is never compared with the
     end, so if that is the edge itself and the start is no element, the read still runs over it.
     """
-    sizes = elements.groupBy("key").agg(F.count(F.lit(1)).alias("ccnt"), F.min("bkey").alias("least"), F.max("bkey").alias("most"))
-    state = eligibility(requests, items, sizes.select("key", "ccnt"), kind=kind).join(sizes.drop("ccnt"), "key", "left")
-    state = state.join(items.select("key", "ovflaction", "trimmed"), "key", "left")
+    state = eligibility(requests, items, elements.groupBy("key").agg(*_sizes()), kind=kind, also=("ovflaction", "trimmed"))
     n = _counts(state.where("status = 'OK'"), elements, efilter)
-    s = state.join(n, "req", "left")
+    return _ruled(state.join(n, "req", "left"))
+
+
+def _ruled(s: DataFrame) -> DataFrame:
+    """The result of ``read_status`` from eligible requests with least, most, ovflaction, trimmed, matches and between."""
     matches, between = F.coalesce("matches", F.lit(0)), F.coalesce("between", F.lit(0))
     stopped = (F.col("count") > 0) & (matches - F.col("offset") >= F.col("count"))
     a, b, least, most = (F.col(c) for c in ("a", "b", "least", "most"))

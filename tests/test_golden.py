@@ -403,3 +403,17 @@ def test_plans(spark):
     assert sorted(map(tuple, far.collect())) == sorted(map(tuple, near.select(far.columns).collect()))
     asked = e.select("key", F.col("bkey"))
     assert "CartesianProduct" not in plan_of(btree.position(e, asked)) and "NestedLoop" not in plan_of(btree.position_with_get(e, asked, 2))
+
+
+def test_mget_sorts_no_tree_for_its_statuses(spark):
+    """One range for all keys: counts combine, only the rows themselves are ranked."""
+    items = spark.createDataFrame([("a", "btree", True, "smallest_trim", True)], "key string, type string, readable boolean, ovflaction string, trimmed boolean")
+    e = spark.createDataFrame([("a", i, i * 2) for i in range(10, 20)], "key string, bkey long, value long")
+    keys = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "pos long, key string")
+    out = btree.mget(items, e, keys, 12, 5, 0, 0)
+    assert sorted((r.pos, r.status, r.bkey) for r in out.collect() if r.bkey) == [(p, "TRIMMED", b) for p in (0, 2) for b in (10, 11, 12)]
+    assert [r.status for r in out.where("pos = 1").collect()] == ["NOT_FOUND"]
+    assert btree.mget(items, e, keys, 12, 10, 0, 0).where("pos = 0").first().status == "OK" and btree.mget(items, e, keys, 10, 15, 0, 2).where("pos = 0").first().status == "OK"
+    assert btree.mget(items, e, keys, 3, 5, 0, 0).where("pos = 0").first().status == "OUT_OF_RANGE" and btree.mget(items, e, keys, 15, 10, 0, 0, F.col("value") > 24).where("pos = 0").first().status == "OK"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "sum(" not in plan
