@@ -6,10 +6,13 @@ longest kept suffix by more than ``GAIN`` nats in all. A node lists the symbols
 rest of its mass goes to all other symbols in the proportions of its longest kept suffix, so each distribution sums to 1.
 A text is scored at each position in the longest node that is a suffix of what came before.
 
-Contexts and listed pairs make up at least ``LEAST`` of all training tokens, so the tree has at most 1 / LEAST entries a level, however large the corpus: it can be
-broadcast. They are counted level by level, exactly: a task only adds up its own tokens, and every count is summed over all tasks before the threshold is put to it, so
-neither the order of the rows nor their layout changes a tree. Root counts are exact for every word and grow with the corpus: the most frequent
-``TABLE`` words are broadcast, the others are joined to the texts that use them.
+Every sequence that occurs ``SEEN`` times is listed, however small its share of the corpus. The tree is a table that grows with the corpus, made level by level: tasks add up
+sequences whose first and last words are listed without the other end (a bit table of fixed size tells most that are not, and only saves work), sums over all tasks decide,
+a join with the level before gives what shorter contexts predict, and one combining aggregate by context makes the tests. Neither the order of the rows nor their layout changes a tree.
+
+A score is a sum over positions and context lengths: for a node what it leaves to other symbols, for a symbol it lists the difference to that. So a text's score is the sum of what its
+contexts and sequences have in one table of values. The ``HEAD`` values of the most frequent are broadcast, the others are joined to the texts that use them. Root counts are exact for every
+word: the most frequent ``TABLE`` words are broadcast, the others are joined.
 
 Texts of any length are taken whole. Only the columns named are read, so others may have any name. Null and empty texts are one end. Ids may repeat (rows are told apart by their place in the run); an empty table gives an empty one; without training
 rows, N and V are 0 and the root is uniform over the one unknown word.
@@ -26,17 +29,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.store import written
-from keyfold.llm.words import Words, words_of
+from keyfold.llm.store import discard, written
+from keyfold.llm.words import Words, mix, seeded, words_of
 
 DEPTH = 3
-LEAST = 2e-6
+LEAST = 0.0  # share of all training tokens that a listed sequence has at least
+SEEN = 3.0  # and how often it occurs at least
 GAIN = 12.0
 DISCOUNT = 0.5
 TABLE = 1 << 19
+HEAD = 1 << 20
 FLUSH = 4 << 20  # tokens that a task adds up before it hands their counts on
 END = np.uint64(0x5EED_0F_7E27)
-_SHIFT = np.uint64(24)  # bits of an entry's or word's number; TABLE and 1 / LEAST are below
+_BITS = 28  # a bit table has 2**28 bits
+_BASE = seeded(1, 4711)[0]
+_SALT = seeded(2 * DEPTH + 2, 815)
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -49,22 +56,16 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
-class Level(NamedTuple):
-    """Listed word sequences of one length, in key order. Key: number of the sequence without its last word << 24 | number of the last word."""
-
-    keys: np.ndarray
-    count: np.ndarray
-
-
 class Tree(NamedTuple):
-    words: np.ndarray  # hashes of the words that contexts and listed symbols are made of, ascending
+    words: np.ndarray  # hashes of the listed words that are broadcast, ascending
     count: np.ndarray  # their training counts
     total: int
     distinct: int
-    levels: list[Level]  # [0]: pairs; a level's sequences are the next level's contexts
-    kept: list[np.ndarray]  # by context length - 1: is it a node
-    gain: list[np.ndarray]  # by level: ln P(last | rest) - ln P(last | root)
-    rest: list[np.ndarray]  # by context length - 1: ln of what unlisted symbols keep of the shorter node's probability
+    kept: np.ndarray  # how many nodes there are of each context length
+    keys: np.ndarray  # of the broadcast values, ascending
+    values: np.ndarray
+    bits: np.ndarray  # bit table of the keys of all values
+    far: DataFrame  # key, value: all other values
 
 
 def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -75,16 +76,53 @@ def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def sequences(words: np.ndarray, levels: list[Level], h: np.ndarray) -> list[np.ndarray]:
-    """For lengths 1, 2, ...: the number of the listed sequence that ends at each token; -1: none. None has an end within: no level lists one."""
-    found = [find(words, h)]
-    for level in levels:
-        before = found[-1]
-        out = np.full(len(h), -1)
-        at = np.flatnonzero((before[:-1] >= 0) & (found[0][1:] >= 0)) + 1
-        out[at] = find(level.keys, (before[at - 1].astype(np.uint64) << _SHIFT) | found[0][at].astype(np.uint64))
-        found.append(out)
-    return found
+def sequences(h: np.ndarray, depth: int) -> list[np.ndarray]:
+    """For lengths 1 to depth + 1: hashes of the sequences that end at each token (in the first few places without meaning)."""
+    out = [h]
+    for _ in range(depth):
+        longer = h.copy()
+        longer[1:] += out[-1][:-1] * _BASE
+        out.append(longer)
+    return out
+
+
+def contexts(h: np.ndarray, depth: int) -> Iterator[np.ndarray]:
+    """For context lengths 1 to depth: the places of tokens that have such a context, which has no end but as its first symbol."""
+    at = np.arange(len(h))
+    last_end = np.maximum.accumulate(np.where(h == END, at, 0))
+    for n in range(1, depth + 1):
+        yield np.flatnonzero(at[1:] - last_end[:-1] >= n) + 1
+
+
+def node_key(ctx: np.ndarray, n: int) -> np.ndarray:
+    return mix(ctx + _SALT[2 * n])
+
+
+def entry_key(seq: np.ndarray, n: int) -> np.ndarray:
+    return mix(seq + _SALT[2 * n + 1])
+
+
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """The bits of some hashes (the only column), of fixed size however many they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.asarray(b.column(0)).view(np.uint64) >> np.uint64(64 - _BITS))
+            word = at >> np.uint64(6)
+            first = np.flatnonzero(np.diff(word, prepend=np.uint64(1 << 63)))
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.record_batch([pa.array(word[first].astype(np.int32)), pa.array(bits.view(np.int64))], ["w", "b"])
+
+    rows = keys.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(1 << (_BITS - 6), np.uint64)
+    table[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
+    return table
+
+
+def maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bits of hashes are set."""
+    at = keys >> np.uint64(64 - _BITS)
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -111,148 +149,183 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def table_words(counts: DataFrame, limit: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
-    """The words of the highest counts, as many whole counts as fit into the limit; by hash."""
+def most_frequent(counts: DataFrame, limit: int, key: str) -> DataFrame:
+    """The rows of the highest counts n, as many whole counts as fit into the limit; ``key`` decides if not even the highest ones do."""
     sizes = counts.groupBy(F.when(F.col("n") < 4096, F.col("n")).otherwise(F.lit(4096)).alias("n")).count().collect()
     room, least = limit, 4097
     for n, c in sorted(map(tuple, sizes), reverse=True):
         if c > room:
             break
         room, least = room - c, n
-    found = (counts.where(F.col("n") >= least) if least <= 4096 else counts.orderBy(F.desc("n"), "w").limit(limit)).toArrow()
+    return counts.where(F.col("n") >= least) if least <= 4096 else counts.orderBy(F.desc("n"), key).limit(limit)
+
+
+def table_words(counts: DataFrame, limit: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the highest counts, by hash."""
+    found = most_frequent(counts, limit, "w").toArrow()
     w, n = found["w"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(w)
     return w[order], n[order]
 
 
-def next_level(docs: DataFrame, text: str, words: np.ndarray, levels: list[Level], total: int, least: float) -> Level:
-    """Sequences one word longer than the last level's, each at least ``least`` of all tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, levels))
+def next_level(docs: DataFrame, text: str, before: DataFrame, length: int, least: float) -> DataFrame:
+    """ctx, suf, n: contexts of a length with a next symbol, told by the sequence without its first word (listed in ``before``), that occur ``least`` times."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(before.select("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, levels = sent.value
         kept, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            k, c = np.unique(np.concatenate(kept), return_counts=True)
+            key, ctx, suf = (np.concatenate(x) for x in zip(*kept, strict=True))
             kept.clear()
-            return pa.record_batch([pa.array(k.view(np.int64)), pa.array(c)], ["k", "n"])
+            _, first, c = np.unique(key, return_index=True, return_counts=True)
+            return pa.record_batch([pa.array(ctx[first].view(np.int64)), pa.array(suf[first].view(np.int64)), pa.array(c)], ["ctx", "suf", "n"])
 
         for b in batches:
             for _, _, w in words_of(b.column(0)):
                 h = np.concatenate([[END], tokens(w)[0]])
-                found = sequences(words, levels, h)
-                last, one = found[-1], found[0]
-                at = np.flatnonzero((last[:-1] >= 0) & (one[1:] >= 0)) + 1
-                for j in range(1, len(found)):  # no end within
-                    at = at[h[at - j] != END]
-                kept.append((last[at - 1].astype(np.uint64) << _SHIFT) | one[at].astype(np.uint64))
-                n += len(h)
-                if n > FLUSH:
+                seqs = sequences(h, length)
+                known = maybe(sent.value, seqs[length - 1])
+                *_, at = contexts(h, length)
+                at = at[known[at] & known[at - 1]]
+                kept.append((seqs[length][at], seqs[length - 1][at - 1], seqs[length - 1][at]))
+                n += len(at)
+                if n > FLUSH // 2:
                     yield flush()
                     n = 0
         if kept:
             yield flush()
 
-    found = docs.select(text).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(max(3.0, least * total))).toArrow()
+    out = docs.select(text).mapInArrow(run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(least))
+    out = written(out.join(before.select(F.col("key").alias("suf"), "sym", "root", "v"), "suf"), "level")
     sent.destroy()
-    keys, n = found["k"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(keys)
-    level = Level(keys[order], n[order])
-    closed = suffixes([*levels, level])[-1] >= 0  # a sequence's own suffix has its count at least; an end within may have kept it from its list
-    return Level(level.keys[closed], level.count[closed])
+    return out
 
 
-def suffixes(levels: list[Level]) -> list[np.ndarray]:
-    """For each level, the number of every sequence without its first word."""
-    out: list[np.ndarray] = []
-    for k, level in enumerate(levels):
-        head, tail = (level.keys >> _SHIFT).astype(np.int64), level.keys & np.uint64((1 << 24) - 1)
-        out.append(tail.astype(np.int64) if not k else find(levels[k - 1].keys, (out[-1][head].astype(np.uint64) << _SHIFT) | tail))
-    return out
+def grow(level: DataFrame, before: DataFrame, gain: float) -> DataFrame:
+    """ctx, seen, rest: the contexts of a level that pass the divergence test. Sums combine before the shuffle."""
+    base = F.col("root") + F.col("v")
+    by = level.groupBy("ctx").agg(F.sum("n").alias("mass"), F.count("*").alias("symbols"), F.sum(F.col("n") * (F.log(F.col("n") - DISCOUNT) - base)).alias("better"), F.sum(F.exp(base)).alias("under"))
+    by = by.join(before.select(F.col("key").alias("ctx"), F.col("n").alias("count")), "ctx").withColumn("seen", F.greatest("count", "mass"))
+    listed = (F.col("mass") - DISCOUNT * F.col("symbols")) / F.col("seen")
+    by = by.withColumn("rest", F.log(F.greatest(1 - listed, F.lit(1e-9))) - F.log(F.greatest(1 - F.col("under"), F.lit(1e-9))))
+    better = F.col("better") - F.col("mass") * F.log("seen") + (F.col("seen") - F.col("mass")) * F.col("rest")
+    return by.where(better > gain).select("ctx", "seen", "rest")
 
 
-def grow(words: np.ndarray, count: np.ndarray, total: int, distinct: int, levels: list[Level], gain: float = GAIN) -> Tree:
-    """Divergence tests, short contexts first; then the probabilities of what each node lists."""
-    root = np.log(count + 0.5) - np.log(total + 0.5 * (distinct + 1))
-    tree = Tree(words, count, total, distinct, levels, [], [], [])
-    sizes = [len(words), *(len(x.keys) for x in levels)]
-    shorter = [np.full(len(words), -1), *suffixes(levels[:-1])]  # by context length - 1
-    for length, level in enumerate(levels, 1):
-        ctx, sym = (level.keys >> _SHIFT).astype(np.int64), (level.keys & np.uint64((1 << 24) - 1)).astype(np.int64)
-        base = conditional(tree, shorter, length - 1, shorter[length - 1][ctx], sym, root)  # ln P(sym | suffix)
-        mass = np.bincount(ctx, level.count, sizes[length - 1])
-        seen = np.maximum(count if length == 1 else levels[length - 2].count, mass)
-        p = np.log((level.count - DISCOUNT) / np.maximum(seen[ctx], 1))
-        listed = np.bincount(ctx, np.exp(p), sizes[length - 1])
-        under = np.bincount(ctx, np.exp(base), sizes[length - 1])
-        rest = np.log(np.maximum(1 - listed, 1e-9)) - np.log(np.maximum(1 - under, 1e-9))
-        better = np.bincount(ctx, level.count * (p - base), sizes[length - 1]) + np.maximum(seen - mass, 0) * rest
-        tree.kept.append((better > gain) & (mass > 0))
-        tree.gain.append(p - root[sym])
-        tree.rest.append(rest)
-    return tree
-
-
-def conditional(tree: Tree, shorter: list[np.ndarray], length: int, ctx: np.ndarray, sym: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """ln P(sym | ctx) for contexts of a length (0: the root), by their longest kept suffixes."""
-    out = root[sym].copy()
-    open_ = np.ones(len(sym), bool)
-    for n in range(length, 0, -1):
-        node = np.flatnonzero(open_ & (ctx >= 0))
-        node = node[tree.kept[n - 1][ctx[node]]]
-        at = find(tree.levels[n - 1].keys, (ctx[node].astype(np.uint64) << _SHIFT) | sym[node].astype(np.uint64))
-        hit = at >= 0
-        out[node[hit]] += tree.gain[n - 1][at[hit]]
-        out[node[~hit]] += tree.rest[n - 1][ctx[node[~hit]]]
-        open_[node[hit]] = False
-        ctx = np.where(ctx >= 0, shorter[n - 1][np.maximum(ctx, 0)], -1)
-    return out
+def with_keys(level: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
+    """The level with its sequences' hashes (key), the values v of its symbols, relative to the root, and where the context is a node the key and value that they have in the table of values."""
+    v = F.log(F.col("n") - DISCOUNT) - F.log("seen") - F.col("root")
+    own = level.join(nodes, "ctx", "left").select("ctx", "sym", "root", "n", F.coalesce(v, "v").alias("v"), (v - F.col("v") - F.col("rest")).alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx, sym = (np.asarray(b.column(i)).view(np.uint64) for i in (0, 1))
+            key = ctx * _BASE + sym
+            cols = [pa.array(key.view(np.int64)), pa.array(entry_key(key, length).view(np.int64)), *b.columns[1:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "entry", "sym", "root", "n", "v", "value"])
+
+    return written(own.mapInArrow(run, "key long, entry long, sym long, root double, n long, v double, value double"), "sequences")
+
+
+def node_values(nodes: DataFrame, length: int) -> DataFrame:
+    """key, value, n of the nodes in the table of values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = node_key(np.asarray(b.column(0)).view(np.uint64), length)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(2), b.column(1)], names=["key", "value", "n"])
+
+    return nodes.mapInArrow(run, "key long, value double, n long")
 
 
-def fit(docs: DataFrame, text: str = "text", least: float = LEAST, depth: int = DEPTH, limit: int = TABLE, gain: float = GAIN) -> tuple[Tree, tuple[np.ndarray, np.ndarray], DataFrame]:
+def fit(docs: DataFrame, text: str = "text", least: float = LEAST, depth: int = DEPTH, limit: int = TABLE, gain: float = GAIN, head: int = HEAD) -> tuple[Tree, tuple[np.ndarray, np.ndarray], DataFrame]:
     """The tree, the table of the most frequent words (hashes, counts), and all words' counts as a written table."""
     counts = written(word_counts(docs, text), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     words, count = table_words(counts, limit)
-    often = count >= max(3.0, least * total)
-    levels: list[Level] = []
-    for _ in range(depth):
-        levels.append(next_level(docs, text, words[often], levels, total, least))
-    return grow(words[often], count[often], total, distinct, levels, gain), (words, count), counts
+    least = max(SEEN, least * total)
+    size = F.lit(float(np.log(total + 0.5 * (distinct + 1))))
+    before = counts.where(F.col("n") >= F.lit(least)).select(F.col("w").alias("key"), F.col("w").alias("sym"), (F.log(F.col("n") + 0.5) - size).alias("root"), F.lit(0.0).alias("v"), "n")
+    values, used, kept = [], [], []
+    for length in range(1, depth + 1):
+        level = next_level(docs, text, before, length, least)
+        nodes = written(grow(level, before, gain), "nodes")
+        before = with_keys(level, nodes, length)
+        discard(level)
+        kept.append(nodes.count())
+        values += [node_values(nodes, length), before.where("value IS NOT NULL").select(F.col("entry").alias("key"), "value", "n")]
+        used += [nodes, before]
+    table = values[0]
+    for more in values[1:]:
+        table = table.unionByName(more)
+    table = written(table, "values")
+    discard(*used)
+    top = written(most_frequent(table, head, "key"), "head")
+    near = top.toArrow()
+    keys, v = near["key"].to_numpy().view(np.uint64), near["value"].to_numpy()
+    order = np.argsort(keys)
+    far = written(table.join(top.select("key"), "key", "left_anti").select("key", "value"), "far")
+    bits = bit_table(table.select("key"))
+    discard(table, top)
+    often = count >= least
+    return Tree(words[often], count[often], total, distinct, np.array(kept), keys[order], v[order], bits, far), (words, count), counts
+
+
+def find_mixed(starts: np.ndarray, keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``find`` for evenly spread hashes: from where their leading bits begin, a step or two."""
+    own = x >> np.uint64(65 - len(starts).bit_length())
+    at, end = starts[own], starts[own + np.uint64(1)]
+    out, open_ = np.full(len(x), -1), np.flatnonzero(at < end)
+    at = at[open_]
+    while len(open_):
+        same = keys[at] == x[open_]
+        out[open_[same]] = at[same]
+        more = ~same & (at + 1 < end[open_])
+        open_, at = open_[more], at[more] + 1
+    return out
+
+
+def starts_of(keys: np.ndarray) -> np.ndarray:
+    """Where each value of the leading bits begins in ascending hashes, with one more entry at the end; about as many values as hashes."""
+    bits = max(1, len(keys).bit_length())
+    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, bits: np.ndarray, starts: np.ndarray, h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums of the broadcast values at each token, places, keys) with the keys that may have other values."""
+    out, places, others = np.zeros(len(h)), [], []
+
+    def look(at: np.ndarray, key: np.ndarray) -> np.ndarray:
+        there = maybe(bits, key)
+        at, key = at[there], key[there]
+        found = find_mixed(starts, keys, key)
+        hit = found >= 0
+        out[at[hit]] += values[found[hit]]
+        places.append(at[~hit])
+        others.append(key[~hit])
+        return at
+
+    seqs = sequences(h, depth)
+    for n, at in enumerate(contexts(h, depth), 1):
+        nodes = look(at, node_key(seqs[n - 1][at - 1], n))
+        look(nodes, entry_key(seqs[n][nodes], n))
+    return out, np.concatenate(places), np.concatenate(others)
 
 
 def gains(tree: Tree, h: np.ndarray) -> np.ndarray:
-    """ln P(token | longest node) - ln P(token | root) at each token but the first, which is the end of the text before."""
-    found = sequences(tree.words, tree.levels[:-1], h)
-    sym = found[0]
-    out = np.zeros(len(h))
-    open_ = np.ones(len(h), bool)
-    open_[0] = False
-    for n in range(len(tree.levels), 0, -1):
-        ctx = found[n - 1][:-1]
-        if n > 1:  # after an end there is no longer context than it
-            ctx = np.where(h[:-1] == END, -1, ctx)
-        node = np.flatnonzero(open_[1:] & (ctx >= 0))
-        node = node[tree.kept[n - 1][ctx[node]]]
-        at = np.full(len(node), -1)
-        known = sym[node + 1] >= 0
-        at[known] = find(tree.levels[n - 1].keys, (ctx[node[known]].astype(np.uint64) << _SHIFT) | sym[node[known] + 1].astype(np.uint64))
-        hit = at >= 0
-        out[node[hit] + 1] += tree.gain[n - 1][at[hit]]
-        out[node[~hit] + 1] += tree.rest[n - 1][ctx[node[~hit]]]
-        open_[node[hit] + 1] = False
-    return out[1:]
+    """ln P(token | longest node) - ln P(token | root), as far as broadcast values tell it, at each token but the first, which is the end of the text before."""
+    return looked_up(tree.keys, tree.values, tree.bits, starts_of(tree.keys), h, len(tree.kept))[0][1:]
 
 
 def score(docs: DataFrame, tree: Tree, table: tuple[np.ndarray, np.ndarray], counts: DataFrame, keys: list[Column], text: str = "text") -> DataFrame:
     """The key columns, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast((tree, *table))
+    sent = docs.sparkSession.sparkContext.broadcast((tree.keys, tree.values, tree.bits, starts_of(tree.keys), len(tree.kept), *table))
     rows = docs.select(F.struct(*keys).alias("key"), F.col(text).alias("t"))
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, uid long, n_tokens long, n_known long, part double, gain double, rare array<bigint>, times array<bigint>"
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, uid long, n_tokens long, n_known long, part double, gain double, rare array<bigint>, times array<bigint>, far array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (tree, words, count), uid = sent.value, TaskContext.get().partitionId() << 36
+        (keys, values, bits, starts, depth, words, count), uid = sent.value, TaskContext.get().partitionId() << 36
         log_count = np.log10(count + 0.5)
         for b in batches:
             for lo, hi, w in words_of(b.column(1)):
@@ -261,7 +334,11 @@ def score(docs: DataFrame, tree: Tree, table: tuple[np.ndarray, np.ndarray], cou
                 at = find(words, h)
                 known = at >= 0
                 part = np.bincount(row[known], log_count[at[known]], hi - lo).astype(float)
-                gain = np.bincount(row, gains(tree, np.concatenate([[END], h])), hi - lo) / np.log(10)
+                near, at_far, key_far = looked_up(keys, values, bits, starts, np.concatenate([[END], h]), depth)
+                gain = np.bincount(row, near[1:], hi - lo)
+                by = np.argsort(at_far, kind="stable")
+                far_off = np.searchsorted(row[at_far[by] - 1], np.arange(hi - lo + 1)).astype(np.int32)
+                far_keys = pa.ListArray.from_arrays(pa.array(far_off), pa.array(key_far[by].view(np.int64)))
                 far = np.flatnonzero(~known)
                 order = far[np.lexsort((h[far], row[far]))]
                 new = np.ones(len(order), bool)
@@ -270,17 +347,20 @@ def score(docs: DataFrame, tree: Tree, table: tuple[np.ndarray, np.ndarray], cou
                 times = np.diff(np.append(first, len(order)))
                 edges = np.searchsorted(row[order][first], np.arange(hi - lo + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64))) for x in (np.ascontiguousarray(h[order][first]), times)]
-                cols = [b.column(0).slice(lo, hi - lo), pa.array(uid + np.arange(hi - lo)), pa.array(n), pa.array(np.bincount(row[known], minlength=hi - lo)), pa.array(part), pa.array(gain), *lists]
+                cols = [b.column(0).slice(lo, hi - lo), pa.array(uid + np.arange(hi - lo)), pa.array(n), pa.array(np.bincount(row[known], minlength=hi - lo)), pa.array(part), pa.array(gain), *lists, far_keys]
                 uid += hi - lo
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "uid", "n_tokens", "n_known", "part", "gain", "rare", "times"])
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "uid", "n_tokens", "n_known", "part", "gain", "rare", "times", "far"])
 
     parts = written(rows.mapInArrow(run, schema), "parts")
     rare = parts.where(F.size("rare") > 0).select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("w"), F.col("x.times").alias("times"))
     seen = rare.join(counts, "w", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
     size = F.lit(float(np.log10(tree.total + 0.5 * (tree.distinct + 1))))
     base = F.col("part") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * size
-    out = parts.drop("rare", "times").join(seen, "uid", "left")
-    return out.select("key.*", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    asked = parts.select("uid", F.explode("far").alias("key"))
+    added = written(asked.join(tree.far.hint("shuffle_hash"), "key").groupBy("uid").agg(F.sum("value").alias("added")), "added")
+    out = parts.drop("rare", "times", "far").join(seen, "uid", "left").join(added, "uid", "left")
+    gain = (F.col("gain") + F.coalesce("added", F.lit(0.0))) / float(np.log(10))
+    return out.select("key.*", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gain).alias("score"))
 
 
 def score_report(docs: DataFrame) -> DataFrame:

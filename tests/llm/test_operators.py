@@ -385,6 +385,34 @@ def test_scores_by_brute_force_whatever_the_layout(spark, monkeypatch):
         assert np.allclose(got["score"], want, rtol=1e-9)
 
 
+def test_few_broadcast_values_change_no_score(spark):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(12)]
+    follow = {w: r.sample(words, 2) for w in words}
+    texts = ["", "w1"]
+    for _ in range(80):
+        t = [r.choice(words)]
+        for _ in range(r.randrange(30)):
+            t.append(r.choice(follow[t[-1]]))
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, kept = brute_tree_scores(texts, texts, 0.0, 4.0)
+    assert kept > 10
+    for head in (0, 20):
+        tree, table, counts = suffix_tree.fit(df, gain=4.0, head=head)
+        assert len(tree.keys) <= head and tree.far.count() > 20
+        got = suffix_tree.score(df, tree, table, counts, [F.col("doc_id")]).toPandas().sort_values("doc_id")
+        assert np.allclose(got["score"], want, rtol=1e-9)
+
+
+def test_three_occurrences_do_in_a_large_corpus(spark):
+    """Two million tokens hold a sequence three times: it is listed, whatever its share."""
+    rows = [(0, "a b " * 1_000_000), *((i, "p q r s") for i in (1, 2, 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = suffix_tree.score(df, *suffix_tree.fit(df), [F.col("doc_id")]).where("doc_id = 1").first()
+    assert out.score - out.base_score > 15
+
+
 def test_suffix_tree_on_nothing(spark, empty):
     assert suffix_tree.score_report(empty).isEmpty()
     one = spark.createDataFrame([(1, None), (2, "x")], "doc_id long, text string")
