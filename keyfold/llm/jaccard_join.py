@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from keyfold.llm.components import components
+from keyfold.llm.runs import pack_ascending, unpack_ascending
 from keyfold.llm.store import as_rows, discard, from_rows, written
 from keyfold.llm.words import mix, seeded, shingles, words_of
 
@@ -58,30 +59,6 @@ def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np
 # ---- frequency classes
 
 
-def pack_ascending(x: np.ndarray, n: np.ndarray) -> bytes:
-    """Ascending values and their counts: gaps as byte planes (their high bytes are mostly 0, which shuffles compress), then counts above 1."""
-    gaps = np.diff(x, prepend=np.uint64(0))
-    wide = 8 if len(gaps) and gaps[1:].max(initial=0) >= 1 << 32 else 4
-    first = gaps[:1].astype(np.uint64)
-    planes = gaps[1:].astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T
-    many = np.flatnonzero(n > 1)
-    return b"".join([np.array([len(x), wide, len(many)], np.uint32).tobytes(), first.tobytes(), np.ascontiguousarray(planes).tobytes(), many.astype(np.uint32).tobytes(), n[many].astype(np.uint32).tobytes()])
-
-
-def unpack_ascending(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size, wide, many = map(int, np.frombuffer(raw, np.uint32, 3))
-    if not size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    gaps = np.empty(size, np.uint64)
-    gaps[:1] = np.frombuffer(raw, np.uint64, 1, 12)
-    planes = np.frombuffer(raw, np.uint8, (size - 1) * wide, 20).reshape(wide, -1)
-    gaps[1:] = np.ascontiguousarray(planes.T).view(f"<u{wide}").ravel()
-    at = 20 + (size - 1) * wide
-    n = np.ones(size, np.int64)
-    n[np.frombuffer(raw, np.uint32, many, at)] = np.frombuffer(raw, np.uint32, many, at + 4 * many)
-    return np.cumsum(gaps), n
-
-
 def frequent(docs: DataFrame, k: int, text: str, above: int = RARE, limit: int = TABLE) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(bits, shingles, rank by number of texts, numbers) of the shingles in more than ``above`` texts, ascending; counted over all texts.
 

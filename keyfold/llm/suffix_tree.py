@@ -7,11 +7,11 @@ rest of its mass goes to all other symbols in the proportions of its longest kep
 A text is scored at each position in the longest node that is a suffix of what came before.
 
 Every sequence that occurs ``SEEN`` times is listed, however small its share of the corpus. The tree is a table that grows with the corpus, made level by level: tasks add up
-sequences whose first and last words are listed without the other end (a bit table of fixed size tells most that are not, and only saves work), sums over all tasks decide,
+sequences whose first and last words are listed without the other end and that a count by leading bits doesn't rule out (bit tables of fixed size tell most that are not, and only save work), sums over all tasks decide,
 a join with the level before gives what shorter contexts predict, and one combining aggregate by context makes the tests. Neither the order of the rows nor their layout changes a tree.
 
 A score is a sum over positions and context lengths: for a node what it leaves to other symbols, for a symbol it lists the difference to that. So a text's score is the sum of what its
-contexts and sequences have in one table of values. The ``HEAD`` values of the most frequent are broadcast, the others are joined to the texts that use them. Root counts are exact for every
+contexts and sequences have in one table of values. The ``HEAD`` values of the most frequent are broadcast, the others meet the texts that use them by range of keys. Root counts are exact for every
 word: the most frequent ``TABLE`` words are broadcast, the others are joined.
 
 Texts of any length are taken whole. Only the columns named are read, so others may have any name. Null and empty texts are one end. Ids may repeat (rows are told apart by their place in the run); an empty table gives an empty one; without training
@@ -20,15 +20,16 @@ rows, N and V are 0 and the root is uniform over the one unknown word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyfold.llm.runs import from_planes, pack_ascending, planes, unpack_ascending
 from keyfold.llm.store import discard, written
 from keyfold.llm.words import Words, mix, seeded, words_of
 
@@ -102,21 +103,31 @@ def entry_key(seq: np.ndarray, n: int) -> np.ndarray:
     return mix(seq + _SALT[2 * n + 1])
 
 
+def bits_of(keys: np.ndarray) -> pa.RecordBatch:
+    """w, b: the words of a bit table that have bits of some hashes."""
+    at = np.unique(keys >> np.uint64(64 - _BITS))
+    word = at >> np.uint64(6)
+    first = np.flatnonzero(np.diff(word, prepend=np.uint64(1 << 63)))
+    bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+    return pa.record_batch([pa.array(word[first].astype(np.int32)), pa.array(bits.view(np.int64))], ["w", "b"])
+
+
+def table_of(rows: DataFrame) -> np.ndarray:
+    """The bit table of words w, b; none twice."""
+    found = rows.toArrow()
+    table = np.zeros(1 << (_BITS - 6), np.uint64)
+    table[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return table
+
+
 def bit_table(keys: DataFrame) -> np.ndarray:
     """The bits of some hashes (the only column), of fixed size however many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(np.asarray(b.column(0)).view(np.uint64) >> np.uint64(64 - _BITS))
-            word = at >> np.uint64(6)
-            first = np.flatnonzero(np.diff(word, prepend=np.uint64(1 << 63)))
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
-            yield pa.record_batch([pa.array(word[first].astype(np.int32)), pa.array(bits.view(np.int64))], ["w", "b"])
+            yield bits_of(np.asarray(b.column(0)).view(np.uint64))
 
-    rows = keys.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(1 << (_BITS - 6), np.uint64)
-    table[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
-    return table
+    return table_of(keys.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")))
 
 
 def maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -168,9 +179,73 @@ def table_words(counts: DataFrame, limit: int = TABLE) -> tuple[np.ndarray, np.n
     return w[order], n[order]
 
 
+def ranges(spark: SparkSession) -> int:
+    """How many leading bits of a hash part the runs that tasks hand on: a range or two for each shuffle partition."""
+    return max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
+def by_range(x: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ranges, where each begins, with the end) of ascending integers."""
+    own = x >> np.uint64(shift)
+    cuts = np.append(np.flatnonzero(np.diff(own, prepend=np.uint64(1 << 63))), len(x))
+    return own[cuts[:-1]].astype(np.int32), cuts
+
+
+def repeated(docs: DataFrame, text: str, places: Callable, length: int, least: float) -> np.ndarray:
+    """The bits of all sequences that ``places`` finds ``least`` times. They count by their leading bits, 2**32 values for each range: the few that share a value only seem more frequent than they are.
+
+    Tasks hand on sorted runs by range, and one task merges a range; sequences seen too seldom, which most are, move as a few bytes and go no further.
+    """
+    high = ranges(docs.sparkSession)
+    bits = min(64, 32 + high)
+    cut, shift = np.uint64(64 - bits), bits - high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            x, n = np.unique(np.concatenate(kept), return_counts=True)
+            kept.clear()
+            r, cuts = by_range(x, shift)
+            return pa.record_batch([pa.array(r), pa.array([pack_ascending(x[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["r", "x"])
+
+        for b in batches:
+            for seqs, at in places(b):
+                kept.append(seqs[length][at] >> cut)
+                size += len(at)
+                if size > FLUSH // 2:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
+
+    def merge(group: pa.Table) -> pa.Table:
+        runs = [unpack_ascending(raw) for raw in group.column("x").to_pylist()]
+        x = np.concatenate([r[0] for r in runs])
+        order = np.argsort(x, kind="stable")
+        x, n = x[order], np.concatenate([r[1] for r in runs])[order]
+        first = np.flatnonzero(np.diff(x, prepend=~x[:1]) != 0)
+        return pa.Table.from_batches([bits_of(x[first[np.add.reduceat(n, first) >= least]] << cut)])
+
+    found = docs.select(text).mapInArrow(run, "r int, x binary").groupBy("r").applyInArrow(merge, "w int, b long")
+    return table_of(found)  # a range has whole words of the table
+
+
 def next_level(docs: DataFrame, text: str, before: DataFrame, length: int, least: float) -> DataFrame:
     """ctx, suf, n: contexts of a length with a next symbol, told by the sequence without its first word (listed in ``before``), that occur ``least`` times."""
-    sent = docs.sparkSession.sparkContext.broadcast(bit_table(before.select("key")))
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(bit_table(before.select("key")))
+
+    def places(b: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """(sequences, where those of the level end that may be listed)."""
+        for _, _, w in words_of(b.column(0)):
+            h = np.concatenate([[END], tokens(w)[0]])
+            seqs = sequences(h, length)
+            known = maybe(sent.value, seqs[length - 1])
+            *_, at = contexts(h, length)
+            yield seqs, at[known[at] & known[at - 1]]
+
+    often = context.broadcast(repeated(docs, text, places, length, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
@@ -182,12 +257,8 @@ def next_level(docs: DataFrame, text: str, before: DataFrame, length: int, least
             return pa.record_batch([pa.array(ctx[first].view(np.int64)), pa.array(suf[first].view(np.int64)), pa.array(c)], ["ctx", "suf", "n"])
 
         for b in batches:
-            for _, _, w in words_of(b.column(0)):
-                h = np.concatenate([[END], tokens(w)[0]])
-                seqs = sequences(h, length)
-                known = maybe(sent.value, seqs[length - 1])
-                *_, at = contexts(h, length)
-                at = at[known[at] & known[at - 1]]
+            for seqs, at in places(b):
+                at = at[maybe(often.value, seqs[length][at])]
                 kept.append((seqs[length][at], seqs[length - 1][at - 1], seqs[length - 1][at]))
                 n += len(at)
                 if n > FLUSH // 2:
@@ -199,6 +270,7 @@ def next_level(docs: DataFrame, text: str, before: DataFrame, length: int, least
     out = docs.select(text).mapInArrow(run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(least))
     out = written(out.join(before.select(F.col("key").alias("suf"), "sym", "root", "v"), "suf"), "level")
     sent.destroy()
+    often.destroy()
     return out
 
 
@@ -318,6 +390,53 @@ def gains(tree: Tree, h: np.ndarray) -> np.ndarray:
     return looked_up(tree.keys, tree.values, tree.bits, starts_of(tree.keys), h, len(tree.kept))[0][1:]
 
 
+def far_sums(parts: DataFrame, far: DataFrame) -> DataFrame:
+    """uid, added: the sum of the values in ``far`` that each row of ``parts`` asks for. Tasks hand on sorted runs of keys by range, each key once with the rows that ask for it."""
+    high = ranges(parts.sparkSession)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            uid, key = (np.concatenate(x) for x in zip(*kept, strict=True))
+            kept.clear()
+            order = np.argsort(key, kind="stable")
+            uid, key = uid[order], key[order]
+            first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+            x, n, edge = key[first], np.diff(np.append(first, len(key))), np.append(first, len(key))
+            r, cuts = by_range(x, 64 - high)
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            return pa.record_batch([pa.array(r), pa.array([pack_ascending(x[a:b], n[a:b]) for a, b in spans], pa.binary()), pa.array([planes(uid[edge[a] : edge[b]]) for a, b in spans], pa.binary())], ["r", "x", "who"])
+
+        for b in batches:
+            lists = b.column(1)
+            key = np.asarray(lists.flatten()).view(np.uint64)
+            kept.append((np.repeat(np.asarray(b.column(0)), np.asarray(lists.value_lengths())), key))
+            size += len(key)
+            if size > FLUSH // 4:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    def answer(asked: pa.Table, found: pa.Table) -> pa.Table:
+        key, value = found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy()
+        order = np.argsort(key)
+        key, value = key[order], np.append(value[order], 0.0)  # place -1: no value
+        sums = []
+        for raw, who in zip(asked.column("x"), asked.column("who"), strict=True):
+            x, n = unpack_ascending(raw.as_py())
+            uid, back = np.unique(from_planes(who.as_py()), return_inverse=True)
+            sums.append((uid, np.bincount(back, np.repeat(value[find(key, x)], n), len(uid))))
+        uid, added = (np.concatenate(x) for x in zip(*sums, strict=True)) if sums else (np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([pa.array(uid), pa.array(added)], ["uid", "added"])
+
+    asked = parts.where(F.size("far") > 0).select("uid", "far").mapInArrow(ask, "r int, x binary, who binary")
+    there = far.select(F.shiftrightunsigned("key", 64 - high).cast("int").alias("r"), "key", "value")
+    found = asked.groupBy("r").cogroup(there.groupBy("r")).applyInArrow(answer, "uid long, added double")
+    return written(found.groupBy("uid").agg(F.sum("added").alias("added")), "added")
+
+
 def score(docs: DataFrame, tree: Tree, table: tuple[np.ndarray, np.ndarray], counts: DataFrame, keys: list[Column], text: str = "text") -> DataFrame:
     """The key columns, n_tokens, n_known, train_tokens, base_score, score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((tree.keys, tree.values, tree.bits, starts_of(tree.keys), len(tree.kept), *table))
@@ -356,8 +475,7 @@ def score(docs: DataFrame, tree: Tree, table: tuple[np.ndarray, np.ndarray], cou
     seen = rare.join(counts, "w", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
     size = F.lit(float(np.log10(tree.total + 0.5 * (tree.distinct + 1))))
     base = F.col("part") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * size
-    asked = parts.select("uid", F.explode("far").alias("key"))
-    added = written(asked.join(tree.far.hint("shuffle_hash"), "key").groupBy("uid").agg(F.sum("value").alias("added")), "added")
+    added = far_sums(parts, tree.far)
     out = parts.drop("rare", "times", "far").join(seen, "uid", "left").join(added, "uid", "left")
     gain = (F.col("gain") + F.coalesce("added", F.lit(0.0))) / float(np.log(10))
     return out.select("key.*", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gain).alias("score"))

@@ -413,6 +413,29 @@ def test_three_occurrences_do_in_a_large_corpus(spark):
     assert out.score - out.base_score > 15
 
 
+def test_sequences_seen_too_seldom_are_ruled_out(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    times = np.where(np.arange(3000) < 200, 3, 1 + (np.arange(3000) % 2))
+    df = spark.createDataFrame([(str(x),) for x in rng.permutation(np.repeat(keys, times))], "text string").repartition(7)
+
+    def places(b):
+        yield [None, np.array([int(x) for x in b.column(0).to_pylist()], np.uint64)], np.arange(b.num_rows)
+
+    there = suffix_tree.maybe(suffix_tree.repeated(df, "text", places, 1, 3), keys)
+    assert there[:200].all() and not there[200:].any()
+
+
+def test_far_values_by_range(spark):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 500)
+    asked = [(i << 36, [int(x) for x in rng.choice(keys, i % 40)]) for i in range(300)]
+    value = {int(k): float(i) for i, k in enumerate(keys[:400])}
+    got = suffix_tree.far_sums(spark.createDataFrame(asked, "uid long, far array<long>").repartition(5), spark.createDataFrame(list(value.items()), "key long, value double"))
+    want = {u: sum(value.get(k, 0.0) for k in ks) for u, ks in asked if ks}
+    assert {r["uid"]: r["added"] for r in got.collect()} == want
+
+
 def test_suffix_tree_on_nothing(spark, empty):
     assert suffix_tree.score_report(empty).isEmpty()
     one = spark.createDataFrame([(1, None), (2, "x")], "doc_id long, text string")
@@ -950,3 +973,18 @@ def test_components(spark):
             top[y] = x
     assert got == {x: find(x) for x in top}
     assert components.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_rounds_name_their_edges_seldom(spark, monkeypatch):
+    scans = []
+
+    def spy(df, name):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return written(df, name)
+
+    written = components.written
+    monkeypatch.setattr(components, "written", spy)
+    edges = written(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), "edges")
+    out = components.components(edges)
+    assert {tuple(r) for r in out.collect()} == {(i, 0) for i in range(41)}
+    assert max(scans) <= 2  # 12 when a round was one plan
