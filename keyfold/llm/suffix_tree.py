@@ -11,7 +11,7 @@ sequences whose first and last words are listed without the other end and that a
 a join with the level before gives what shorter contexts predict, and one combining aggregate by context makes the tests. Neither the order of the rows nor their layout changes a tree.
 
 A score is a sum over positions and context lengths: for a node what it leaves to other symbols, for a symbol it lists the difference to that. So a text's score is the sum of what its
-contexts and sequences have in one table of values. The ``HEAD`` values of the most frequent are broadcast, the others meet the texts that use them by range of keys. Root counts are exact for every
+contexts and sequences have in one table of values. The ``HEAD`` values of the most frequent are broadcast, the others meet the texts that use them by range of keys, a third of the texts at a time. Root counts are exact for every
 word: the most frequent ``TABLE`` words are broadcast, the others are joined.
 
 Texts of any length are taken whole. Only the columns named are read, so others may have any name. Null and empty texts are one end. Ids may repeat (rows are told apart by their place in the run); an empty table gives an empty one; without training
@@ -21,6 +21,7 @@ rows, N and V are 0 and the root is uniform over the one unknown word.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -41,6 +42,7 @@ DISCOUNT = 0.5
 TABLE = 1 << 19
 HEAD = 1 << 20
 FLUSH = 4 << 20  # tokens that a task adds up before it hands their counts on
+SLICES = 3  # of the texts, which ask for far values one after the other
 END = np.uint64(0x5EED_0F_7E27)
 _BITS = 28  # a bit table has 2**28 bits
 _BASE = seeded(1, 4711)[0]
@@ -113,8 +115,10 @@ def bits_of(keys: np.ndarray) -> pa.RecordBatch:
 
 
 def table_of(rows: DataFrame) -> np.ndarray:
-    """The bit table of words w, b; none twice."""
+    """The bit table of words w, b; none twice. It goes by way of a table, whose job deletes its shuffle files when it ends."""
+    rows = written(rows, "bits")
     found = rows.toArrow()
+    discard(rows)
     table = np.zeros(1 << (_BITS - 6), np.uint64)
     table[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
     return table
@@ -122,12 +126,7 @@ def table_of(rows: DataFrame) -> np.ndarray:
 
 def bit_table(keys: DataFrame) -> np.ndarray:
     """The bits of some hashes (the only column), of fixed size however many they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield bits_of(np.asarray(b.column(0)).view(np.uint64))
-
-    return table_of(keys.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")))
+    return bits_by_range(keys, lambda b: [np.asarray(b.column(0)).view(np.uint64)], _BITS, 1)
 
 
 def maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -160,20 +159,23 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, limit: int, key: str) -> DataFrame:
-    """The rows of the highest counts n, as many whole counts as fit into the limit; ``key`` decides if not even the highest ones do."""
+def most_frequent(counts: DataFrame, limit: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of the highest counts n, as many whole counts as fit into the limit, and all others; ``key`` decides if not even the highest ones do."""
     sizes = counts.groupBy(F.when(F.col("n") < 4096, F.col("n")).otherwise(F.lit(4096)).alias("n")).count().collect()
     room, least = limit, 4097
     for n, c in sorted(map(tuple, sizes), reverse=True):
         if c > room:
             break
         room, least = room - c, n
-    return counts.where(F.col("n") >= least) if least <= 4096 else counts.orderBy(F.desc("n"), key).limit(limit)
+    if least <= 4096:
+        return counts.where(F.col("n") >= least), counts.where(F.col("n") < least)
+    top = counts.orderBy(F.desc("n"), key).limit(limit)
+    return top, counts.join(top.select(key), key, "left_anti")
 
 
 def table_words(counts: DataFrame, limit: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
     """The words of the highest counts, by hash."""
-    found = most_frequent(counts, limit, "w").toArrow()
+    found = most_frequent(counts, limit, "w")[0].toArrow()
     w, n = found["w"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(w)
     return w[order], n[order]
@@ -192,12 +194,16 @@ def by_range(x: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(docs: DataFrame, text: str, places: Callable, length: int, least: float) -> np.ndarray:
-    """The bits of all sequences that ``places`` finds ``least`` times. They count by their leading bits, 2**32 values for each range: the few that share a value only seem more frequent than they are.
+    """The bits of all sequences that ``places`` finds ``least`` times. They count by their leading bits, 2**32 values for each range: the few that share a value only seem more frequent than they are."""
+    return bits_by_range(docs.select(text), lambda b: (seqs[length][at] for seqs, at in places(b)), min(64, 32 + ranges(docs.sparkSession)), least)
 
-    Tasks hand on sorted runs by range, and one task merges a range; sequences seen too seldom, which most are, move as a few bytes and go no further.
+
+def bits_by_range(rows: DataFrame, hashes: Callable, bits: int, least: float) -> np.ndarray:
+    """The bits of all values of ``bits`` leading bits that the hashes have ``least`` times; ``hashes`` gives arrays of them for each batch of rows.
+
+    Tasks hand on sorted runs by range, and one task merges a range; values seen too seldom, which most sequences are, move as a few bytes and go no further.
     """
-    high = ranges(docs.sparkSession)
-    bits = min(64, 32 + high)
+    high = ranges(rows.sparkSession)
     cut, shift = np.uint64(64 - bits), bits - high
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +216,9 @@ def repeated(docs: DataFrame, text: str, places: Callable, length: int, least: f
             return pa.record_batch([pa.array(r), pa.array([pack_ascending(x[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["r", "x"])
 
         for b in batches:
-            for seqs, at in places(b):
-                kept.append(seqs[length][at] >> cut)
-                size += len(at)
+            for x in hashes(b):
+                kept.append(x >> cut)
+                size += len(x)
                 if size > FLUSH // 2:
                     yield flush()
                     size = 0
@@ -227,7 +233,7 @@ def repeated(docs: DataFrame, text: str, places: Callable, length: int, least: f
         first = np.flatnonzero(np.diff(x, prepend=~x[:1]) != 0)
         return pa.Table.from_batches([bits_of(x[first[np.add.reduceat(n, first) >= least]] << cut)])
 
-    found = docs.select(text).mapInArrow(run, "r int, x binary").groupBy("r").applyInArrow(merge, "w int, b long")
+    found = rows.mapInArrow(run, "r int, x binary").groupBy("r").applyInArrow(merge, "w int, b long")
     return table_of(found)  # a range has whole words of the table
 
 
@@ -268,9 +274,11 @@ def next_level(docs: DataFrame, text: str, before: DataFrame, length: int, least
             yield flush()
 
     out = docs.select(text).mapInArrow(run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(least))
-    out = written(out.join(before.select(F.col("key").alias("suf"), "sym", "root", "v"), "suf"), "level")
+    listed = written(out, "listed")  # so the shuffle files of the counts are gone when those of the join come
     sent.destroy()
     often.destroy()
+    out = written(listed.join(before.select(F.col("key").alias("suf"), "sym", "root", "v"), "suf"), "level")
+    discard(listed)
     return out
 
 
@@ -333,13 +341,13 @@ def fit(docs: DataFrame, text: str = "text", least: float = LEAST, depth: int =
         table = table.unionByName(more)
     table = written(table, "values")
     discard(*used)
-    top = written(most_frequent(table, head, "key"), "head")
-    near = top.toArrow()
+    top, far = most_frequent(table, head, "key")
+    near = top.select("key", "value").toArrow()
     keys, v = near["key"].to_numpy().view(np.uint64), near["value"].to_numpy()
     order = np.argsort(keys)
-    far = written(table.join(top.select("key"), "key", "left_anti").select("key", "value"), "far")
     bits = bit_table(table.select("key"))
-    discard(table, top)
+    far = far.select("key", "value")
+    far.written_to = table.written_to
     often = count >= least
     return Tree(words[often], count[often], total, distinct, np.array(kept), keys[order], v[order], bits, far), (words, count), counts
 
@@ -390,14 +398,53 @@ def gains(tree: Tree, h: np.ndarray) -> np.ndarray:
     return looked_up(tree.keys, tree.values, tree.bits, starts_of(tree.keys), h, len(tree.kept))[0][1:]
 
 
+def far_runs(far: DataFrame) -> DataFrame:
+    """r, key, value: the rows of ``far`` (key, value) as sorted runs by range."""
+    high = ranges(far.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, value = (np.concatenate(x) for x in zip(*kept, strict=True))
+            kept.clear()
+            order = np.argsort(key)
+            key, value = key[order], value[order]
+            r, cuts = by_range(key, 64 - high)
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            cols = [pa.array(r), pa.array([pack_ascending(key[a:b], np.ones(b - a, np.int64)) for a, b in spans], pa.binary()), pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())]
+            return pa.record_batch(cols, ["r", "key", "value"])
+
+        for b in batches:
+            kept.append((np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1))))
+            size += b.num_rows
+            if size > FLUSH // 4:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    return far.select("key", "value").mapInArrow(run, "r int, key binary, value binary")
+
+
 def far_sums(parts: DataFrame, far: DataFrame) -> DataFrame:
-    """uid, added: the sum of the values in ``far`` that each row of ``parts`` asks for. Tasks hand on sorted runs of keys by range, each key once with the rows that ask for it."""
+    """uid, added: the sum of the values in ``far`` (key, value) that each row of ``parts`` asks for."""
+    return sums_of_runs(parts, far_runs(far))
+
+
+def sums_of_runs(parts: DataFrame, runs: DataFrame) -> DataFrame:
+    """``far_sums`` of the runs of all far values. Tasks hand on sorted runs of keys by range, each key once with the rows that ask for it.
+
+    A range's answer to a run is one row as well, and all answers to a task's run meet by its number (flush), so no row moves for each text and range.
+    """
     high = ranges(parts.sparkSession)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
+        kept, size, own = [], 0, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
+            nonlocal own
+            own += 1
             uid, key = (np.concatenate(x) for x in zip(*kept, strict=True))
             kept.clear()
             order = np.argsort(key, kind="stable")
@@ -406,7 +453,8 @@ def far_sums(parts: DataFrame, far: DataFrame) -> DataFrame:
             x, n, edge = key[first], np.diff(np.append(first, len(key))), np.append(first, len(key))
             r, cuts = by_range(x, 64 - high)
             spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-            return pa.record_batch([pa.array(r), pa.array([pack_ascending(x[a:b], n[a:b]) for a, b in spans], pa.binary()), pa.array([planes(uid[edge[a] : edge[b]]) for a, b in spans], pa.binary())], ["r", "x", "who"])
+            cols = [pa.array(r), pa.array(np.full(len(r), own)), pa.array([pack_ascending(x[a:b], n[a:b]) for a, b in spans], pa.binary()), pa.array([planes(uid[edge[a] : edge[b]]) for a, b in spans], pa.binary())]
+            return pa.record_batch(cols, ["r", "flush", "x", "who"])
 
         for b in batches:
             lists = b.column(1)
@@ -420,31 +468,42 @@ def far_sums(parts: DataFrame, far: DataFrame) -> DataFrame:
             yield flush()
 
     def answer(asked: pa.Table, found: pa.Table) -> pa.Table:
-        key, value = found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy()
+        key = np.concatenate([np.zeros(0, np.uint64), *(unpack_ascending(x)[0] for x in found.column("key").to_pylist())])
+        value = np.concatenate([np.zeros(0), *(np.frombuffer(x) for x in found.column("value").to_pylist())])
         order = np.argsort(key)
         key, value = key[order], np.append(value[order], 0.0)  # place -1: no value
-        sums = []
-        for raw, who in zip(asked.column("x"), asked.column("who"), strict=True):
+        who, sums = [], []
+        for raw, ids in zip(asked.column("x"), asked.column("who"), strict=True):
             x, n = unpack_ascending(raw.as_py())
-            uid, back = np.unique(from_planes(who.as_py()), return_inverse=True)
-            sums.append((uid, np.bincount(back, np.repeat(value[find(key, x)], n), len(uid))))
-        uid, added = (np.concatenate(x) for x in zip(*sums, strict=True)) if sums else (np.zeros(0, np.int64), np.zeros(0))
+            uid, back = np.unique(from_planes(ids.as_py()), return_inverse=True)
+            who.append(planes(uid))
+            sums.append(np.bincount(back, np.repeat(value[find(key, x)], n), len(uid)).tobytes())
+        return pa.table([asked.column("flush"), pa.array(who, pa.binary()), pa.array(sums, pa.binary())], ["flush", "who", "sums"])
+
+    def total(answers: pa.Table) -> pa.Table:
+        uid = np.concatenate([from_planes(x) for x in answers.column("who").to_pylist()])
+        uid, back = np.unique(uid, return_inverse=True)
+        added = np.bincount(back, np.concatenate([np.frombuffer(x) for x in answers.column("sums").to_pylist()]), len(uid))
         return pa.table([pa.array(uid), pa.array(added)], ["uid", "added"])
 
-    asked = parts.where(F.size("far") > 0).select("uid", "far").mapInArrow(ask, "r int, x binary, who binary")
-    there = far.select(F.shiftrightunsigned("key", 64 - high).cast("int").alias("r"), "key", "value")
-    found = asked.groupBy("r").cogroup(there.groupBy("r")).applyInArrow(answer, "uid long, added double")
+    asked = parts.where(F.size("far") > 0).select("uid", "far").mapInArrow(ask, "r int, flush long, x binary, who binary")
+    found = asked.groupBy("r").cogroup(runs.groupBy("r")).applyInArrow(answer, "flush long, who binary, sums binary")
+    found = found.groupBy("flush").applyInArrow(total, "uid long, added double")
     return written(found.groupBy("uid").agg(F.sum("added").alias("added")), "added")
 
 
-def score(docs: DataFrame, tree: Tree, table: tuple[np.ndarray, np.ndarray], counts: DataFrame, keys: list[Column], text: str = "text") -> DataFrame:
-    """The key columns, n_tokens, n_known, train_tokens, base_score, score of every row."""
+def score(docs: DataFrame, tree: Tree, table: tuple[np.ndarray, np.ndarray], counts: DataFrame, keys: list[Column], text: str = "text", once: bool = False) -> DataFrame:
+    """The key columns, n_tokens, n_known, train_tokens, base_score, score of every row. ``once``: the tree scores nothing else, so its table of far values may go."""
     sent = docs.sparkSession.sparkContext.broadcast((tree.keys, tree.values, tree.bits, starts_of(tree.keys), len(tree.kept), *table))
     rows = docs.select(F.struct(*keys).alias("key"), F.col(text).alias("t"))
+    runs = written(far_runs(tree.far), "runs")
+    if once:
+        discard(tree.far)
+    slices = 1 if runs.isEmpty() else SLICES
     schema = f"key {rows.schema['key'].dataType.simpleString()}, uid long, n_tokens long, n_known long, part double, gain double, rare array<bigint>, times array<bigint>, far array<bigint>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, values, bits, starts, depth, words, count), uid = sent.value, TaskContext.get().partitionId() << 36
+    def run(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+        (keys, values, bits, starts, depth, words, count), uid = sent.value, number << 56 | TaskContext.get().partitionId() << 36
         log_count = np.log10(count + 0.5)
         for b in batches:
             for lo, hi, w in words_of(b.column(1)):
@@ -470,13 +529,20 @@ def score(docs: DataFrame, tree: Tree, table: tuple[np.ndarray, np.ndarray], cou
                 uid += hi - lo
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "uid", "n_tokens", "n_known", "part", "gain", "rare", "times", "far"])
 
-    parts = written(rows.mapInArrow(run, schema), "parts")
+    done = []
+    for number in range(slices):  # what texts ask for takes more room than the texts: there is only a slice of it at a time
+        some = rows.where(F.pmod(F.xxhash64("t"), F.lit(slices)) == number) if slices > 1 else rows
+        asking = written(some.mapInArrow(partial(run, number=number), schema), "asking")
+        done.append((written(asking.drop("far"), "parts"), sums_of_runs(asking, runs)))
+        discard(asking)
+    sent.destroy()
+    discard(runs)
+    parts, added = (reduce(DataFrame.unionAll, x) for x in zip(*done, strict=True))
     rare = parts.where(F.size("rare") > 0).select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("w"), F.col("x.times").alias("times"))
     seen = rare.join(counts, "w", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
     size = F.lit(float(np.log10(tree.total + 0.5 * (tree.distinct + 1))))
     base = F.col("part") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * size
-    added = far_sums(parts, tree.far)
-    out = parts.drop("rare", "times", "far").join(seen, "uid", "left").join(added, "uid", "left")
+    out = parts.drop("rare", "times").join(seen, "uid", "left").join(added, "uid", "left")
     gain = (F.col("gain") + F.coalesce("added", F.lit(0.0))) / float(np.log(10))
     return out.select("key.*", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gain).alias("score"))
 
@@ -485,4 +551,4 @@ def score_report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from the rows that are not held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     tree, table, counts = fit(docs.where(~held))
-    return score(docs, tree, table, counts, [F.col("doc_id"), held.alias("held_out")])
+    return score(docs, tree, table, counts, [F.col("doc_id"), held.alias("held_out")], once=True)

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -436,6 +437,75 @@ def test_far_values_by_range(spark):
     assert {r["uid"]: r["added"] for r in got.collect()} == want
 
 
+def rows_made(df, name):
+    """How many rows the nodes of a name in the plan of a collected frame have made."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("pythonNumRowsReceived").value() if kind == name else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_far_values_give_no_row_for_each_text_and_range(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 3000)
+    asked = [(i, [int(x) for x in rng.choice(keys, 100)]) for i in range(400)]
+    value = {int(k): float(i) for i, k in enumerate(keys)}
+    monkeypatch.setattr(suffix_tree, "written", lambda df, _: df)
+    monkeypatch.setattr(suffix_tree, "ranges", lambda _: 6)
+    parts = spark.createDataFrame(asked, "uid long, far array<long>").coalesce(2)
+    got = suffix_tree.far_sums(parts, spark.createDataFrame(list(value.items()), "key long, value double"))
+    assert {r["uid"]: r["added"] for r in got.collect()} == {u: sum(value[k] for k in ks) for u, ks in asked}
+    assert 0 < rows_made(got, "FlatMapCoGroupsInArrowExec") <= 2 * 64
+
+
+def test_far_values_are_asked_for_by_a_slice_of_the_texts_at_a_time(spark, monkeypatch):
+    there, most, rows = {}, [0], [0]
+    write, drop = suffix_tree.written, suffix_tree.discard
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "asking":
+            there[out.written_to] = out.count()
+            most[0], rows[0] = max(most[0], sum(there.values())), rows[0] + there[out.written_to]
+        return out
+
+    def discard(*tables):
+        drop(*tables)
+        for t in tables:
+            there.pop(getattr(t, "written_to", None), None)
+
+    monkeypatch.setattr(suffix_tree, "written", written)
+    monkeypatch.setattr(suffix_tree, "discard", discard)
+    texts = [f"a b c d e{i % 40} f{i % 40} g" for i in range(300)] + [f"h{i} a b c" for i in range(300)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fitted = suffix_tree.fit(df, gain=1.0, head=5)
+    scored = [suffix_tree.score(df, *fitted, [F.col("doc_id")], once=once).toPandas().sort_values("doc_id") for once in (False, True)]
+    assert rows[0] == 2 * len(texts) and most[0] < 0.6 * len(texts) and not there
+    assert np.allclose(scored[0]["score"], scored[1]["score"])
+    want = suffix_tree.score(df, *suffix_tree.fit(df, gain=1.0), [F.col("doc_id")]).toPandas().sort_values("doc_id")
+    assert np.allclose(scored[0]["score"], want["score"], rtol=1e-9)
+
+
+def test_bit_tables_leave_no_shuffle_files(spark):
+    def left():
+        tops = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in tops for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before = left()
+    keys = np.random.default_rng(6).integers(-(1 << 63), (1 << 63) - 1, 5000)
+    table = suffix_tree.bit_table(spark.createDataFrame([(int(k),) for k in keys], "k long"))
+    assert suffix_tree.maybe(table, keys.view(np.uint64)).all()
+    assert sum(int(x).bit_count() for x in table[table > 0]) <= len(keys)
+    assert left() <= before
+
+
 def test_suffix_tree_on_nothing(spark, empty):
     assert suffix_tree.score_report(empty).isEmpty()
     one = spark.createDataFrame([(1, None), (2, "x")], "doc_id long, text string")
