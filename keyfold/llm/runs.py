@@ -5,6 +5,26 @@ from __future__ import annotations
 import numpy as np
 
 
+def order_of(x: np.ndarray) -> np.ndarray:
+    """The stable order of unsigned integers: a plain sort of the numbers with their places in the low bits, which is several times faster than argsort.
+
+    Where a number and a place don't fit into 64 bits, the leading bits of the numbers do, unless numbers differ only below them; then argsort decides.
+    """
+    if not len(x):
+        return np.zeros(0, np.int64)
+    bits, least = np.uint64(len(x).bit_length()), x.min()
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    exact = int(x.max() - least).bit_length() + int(bits) <= 64
+    at = ((x - least) << bits if exact else x & ~low) | np.arange(len(x), dtype=np.uint64)
+    at.sort()
+    at = (at & low).astype(np.int64)
+    if not exact:
+        sorted_x = x[at]
+        if (sorted_x[1:] < sorted_x[:-1]).any():
+            return np.argsort(x, kind="stable")
+    return at
+
+
 def pack_ascending(x: np.ndarray, n: np.ndarray) -> bytes:
     """Ascending values and their counts: gaps as byte planes (their high bytes are mostly 0, which shuffles compress), then counts above 1."""
     gaps = np.diff(x, prepend=np.uint64(0))

@@ -30,9 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm.runs import from_planes, pack_ascending, planes, unpack_ascending
+from keyfold.llm.runs import from_planes, order_of, pack_ascending, planes, unpack_ascending
 from keyfold.llm.store import discard, written
-from keyfold.llm.words import Words, mix, seeded, words_of
+from keyfold.llm.words import Words, mix, seeded, word_hash, words_of
 
 DEPTH = 3
 LEAST = 0.0  # share of all training tokens that a listed sequence has at least
@@ -41,7 +41,7 @@ GAIN = 12.0
 DISCOUNT = 0.5
 TABLE = 1 << 19
 HEAD = 1 << 20
-FLUSH = 4 << 20  # tokens that a task adds up before it hands their counts on
+FLUSH = 4 << 20  # a task adds up half as many tokens before it hands their counts on, and asks for a fourth as many values at once
 SLICES = 3  # of the texts, which ask for far values one after the other
 END = np.uint64(0x5EED_0F_7E27)
 _BITS = 28  # a bit table has 2**28 bits
@@ -55,7 +55,7 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(int(off[-1]), END, np.uint64)
     inside = np.ones(len(out), bool)
     inside[off[1:] - 1] = False
-    out[inside] = w.hashes
+    out[inside] = word_hash(w.data, w.starts, w.ends)
     return out, off
 
 
@@ -136,27 +136,14 @@ def maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """w (hash), n: training tokens. Each task adds up a few million tokens before it hands them on."""
+    """w (hash), n: training tokens."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            w, c = np.unique(np.concatenate(kept), return_counts=True)
-            kept.clear()
-            return pa.record_batch([pa.array(w.view(np.int64)), pa.array(c)], ["w", "n"])
-
-        for b in batches:
-            for _, _, w in words_of(b.column(0)):
-                kept.append(tokens(w)[0])
-                n += len(kept[-1])
-                if n > FLUSH:
-                    yield flush()
-                    n = 0
-        if kept:
-            yield flush()
+    def merge(group: pa.Table) -> pa.Table:
+        x, n = merged(group)
+        return pa.table([pa.array(x.view(np.int64)), pa.array(n)], ["w", "n"])
 
-    return docs.select(text).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    runs = runs_by_range(docs.select(text), lambda b: (tokens(w)[0] for _, _, w in words_of(b.column(0))), 64)
+    return runs.groupBy("r").applyInArrow(merge, "w long, n long")
 
 
 def most_frequent(counts: DataFrame, limit: int, key: str) -> tuple[DataFrame, DataFrame]:
@@ -198,11 +185,8 @@ def repeated(docs: DataFrame, text: str, places: Callable, length: int, least: f
     return bits_by_range(docs.select(text), lambda b: (seqs[length][at] for seqs, at in places(b)), min(64, 32 + ranges(docs.sparkSession)), least)
 
 
-def bits_by_range(rows: DataFrame, hashes: Callable, bits: int, least: float) -> np.ndarray:
-    """The bits of all values of ``bits`` leading bits that the hashes have ``least`` times; ``hashes`` gives arrays of them for each batch of rows.
-
-    Tasks hand on sorted runs by range, and one task merges a range; values seen too seldom, which most sequences are, move as a few bytes and go no further.
-    """
+def runs_by_range(rows: DataFrame, hashes: Callable, bits: int) -> DataFrame:
+    """r, x: the ``bits`` leading bits of hashes as sorted runs by range, with how often each task has them; ``hashes`` gives arrays of hashes for each batch of rows. So a value moves as a few bytes and not as a row."""
     high = ranges(rows.sparkSession)
     cut, shift = np.uint64(64 - bits), bits - high
 
@@ -225,15 +209,28 @@ def bits_by_range(rows: DataFrame, hashes: Callable, bits: int, least: float) ->
         if size:
             yield flush()
 
+    return rows.mapInArrow(run, "r int, x binary")
+
+
+def merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(values, counts) of all runs of a range."""
+    runs = [unpack_ascending(raw) for raw in group.column("x").to_pylist()]
+    x = np.concatenate([r[0] for r in runs])
+    order = order_of(x)
+    x, n = x[order], np.concatenate([r[1] for r in runs])[order]
+    first = np.flatnonzero(np.diff(x, prepend=~x[:1]) != 0)
+    return x[first], np.add.reduceat(n, first)
+
+
+def bits_by_range(rows: DataFrame, hashes: Callable, bits: int, least: float) -> np.ndarray:
+    """The bits of all values of ``bits`` leading bits that the hashes have ``least`` times; ``hashes`` gives arrays of them for each batch of rows. One task merges a range; values seen too seldom, which most sequences are, go no further."""
+    cut = np.uint64(64 - bits)
+
     def merge(group: pa.Table) -> pa.Table:
-        runs = [unpack_ascending(raw) for raw in group.column("x").to_pylist()]
-        x = np.concatenate([r[0] for r in runs])
-        order = np.argsort(x, kind="stable")
-        x, n = x[order], np.concatenate([r[1] for r in runs])[order]
-        first = np.flatnonzero(np.diff(x, prepend=~x[:1]) != 0)
-        return pa.Table.from_batches([bits_of(x[first[np.add.reduceat(n, first) >= least]] << cut)])
+        x, n = merged(group)
+        return pa.Table.from_batches([bits_of(x[n >= least] << cut)])
 
-    found = rows.mapInArrow(run, "r int, x binary").groupBy("r").applyInArrow(merge, "w int, b long")
+    found = runs_by_range(rows, hashes, bits).groupBy("r").applyInArrow(merge, "w int, b long")
     return table_of(found)  # a range has whole words of the table
 
 
@@ -252,29 +249,51 @@ def next_level(docs: DataFrame, text: str, before: DataFrame, length: int, least
             yield seqs, at[known[at] & known[at - 1]]
 
     often = context.broadcast(repeated(docs, text, places, length, least))
+    high = ranges(docs.sparkSession)
+    names = ["r", "x", "ctx", "suf"][: 3 if length == 1 else 4]  # of two words the first tells the second
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            key, ctx, suf = (np.concatenate(x) for x in zip(*kept, strict=True))
+            key, *ends = (np.concatenate(x) for x in zip(*kept, strict=True))
             kept.clear()
-            _, first, c = np.unique(key, return_index=True, return_counts=True)
-            return pa.record_batch([pa.array(ctx[first].view(np.int64)), pa.array(suf[first].view(np.int64)), pa.array(c)], ["ctx", "suf", "n"])
+            order = order_of(key)
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+            x, n = key[first], np.diff(np.append(first, len(key)))
+            r, cuts = by_range(x, 64 - high)
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            cols = [pa.array([pack_ascending(x[a:b], n[a:b]) for a, b in spans], pa.binary())]
+            for end in (x[order[first]] for x in ends):
+                cols.append(pa.array([end[a:b].tobytes() for a, b in spans], pa.binary()))
+            return pa.record_batch([pa.array(r), *cols], names)
 
         for b in batches:
             for seqs, at in places(b):
                 at = at[maybe(often.value, seqs[length][at])]
-                kept.append((seqs[length][at], seqs[length - 1][at - 1], seqs[length - 1][at]))
+                kept.append((seqs[length][at], seqs[length - 1][at - 1], seqs[length - 1][at])[: len(names) - 1])
                 n += len(at)
                 if n > FLUSH // 2:
                     yield flush()
                     n = 0
-        if kept:
+        if n:
             yield flush()
 
-    out = docs.select(text).mapInArrow(run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(least))
-    listed = written(out, "listed")  # so the shuffle files of the counts are gone when those of the join come
+    def merge(group: pa.Table) -> pa.Table:
+        runs = [unpack_ascending(raw) for raw in group.column("x").to_pylist()]
+        key = np.concatenate([r[0] for r in runs])
+        order = order_of(key)
+        key, n = key[order], np.concatenate([r[1] for r in runs])[order]
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+        n = np.add.reduceat(n, first)
+        first, n = first[n >= least], n[n >= least]
+        ctx, *suf = (np.frombuffer(b"".join(group.column(name).to_pylist()), np.uint64)[order[first]] for name in names[2:])
+        suf = suf[0] if suf else key[first] - ctx * _BASE
+        return pa.table([pa.array(ctx.view(np.int64)), pa.array(suf.view(np.int64)), pa.array(n)], ["ctx", "suf", "n"])
+
+    runs = docs.select(text).mapInArrow(run, ", ".join(f"{c} {'int' if c == 'r' else 'binary'}" for c in names))
+    listed = written(runs.groupBy("r").applyInArrow(merge, "ctx long, suf long, n long"), "listed")  # so the shuffle files of the counts are gone when those of the join come
     sent.destroy()
     often.destroy()
     out = written(listed.join(before.select(F.col("key").alias("suf"), "sym", "root", "v"), "suf"), "level")
@@ -408,7 +427,7 @@ def far_runs(far: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             key, value = (np.concatenate(x) for x in zip(*kept, strict=True))
             kept.clear()
-            order = np.argsort(key)
+            order = order_of(key)
             key, value = key[order], value[order]
             r, cuts = by_range(key, 64 - high)
             spans = list(zip(cuts[:-1], cuts[1:], strict=True))
@@ -447,7 +466,7 @@ def sums_of_runs(parts: DataFrame, runs: DataFrame) -> DataFrame:
             own += 1
             uid, key = (np.concatenate(x) for x in zip(*kept, strict=True))
             kept.clear()
-            order = np.argsort(key, kind="stable")
+            order = order_of(key)
             uid, key = uid[order], key[order]
             first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
             x, n, edge = key[first], np.diff(np.append(first, len(key))), np.append(first, len(key))
@@ -470,7 +489,7 @@ def sums_of_runs(parts: DataFrame, runs: DataFrame) -> DataFrame:
     def answer(asked: pa.Table, found: pa.Table) -> pa.Table:
         key = np.concatenate([np.zeros(0, np.uint64), *(unpack_ascending(x)[0] for x in found.column("key").to_pylist())])
         value = np.concatenate([np.zeros(0), *(np.frombuffer(x) for x in found.column("value").to_pylist())])
-        order = np.argsort(key)
+        order = order_of(key)
         key, value = key[order], np.append(value[order], 0.0)  # place -1: no value
         who, sums = [], []
         for raw, ids in zip(asked.column("x"), asked.column("who"), strict=True):
@@ -494,7 +513,7 @@ def sums_of_runs(parts: DataFrame, runs: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, tree: Tree, table: tuple[np.ndarray, np.ndarray], counts: DataFrame, keys: list[Column], text: str = "text", once: bool = False) -> DataFrame:
     """The key columns, n_tokens, n_known, train_tokens, base_score, score of every row. ``once``: the tree scores nothing else, so its table of far values may go."""
-    sent = docs.sparkSession.sparkContext.broadcast((tree.keys, tree.values, tree.bits, starts_of(tree.keys), len(tree.kept), *table))
+    sent = docs.sparkSession.sparkContext.broadcast((tree.keys, tree.values, tree.bits, starts_of(tree.keys), len(tree.kept), *table, starts_of(table[0])))
     rows = docs.select(F.struct(*keys).alias("key"), F.col(text).alias("t"))
     runs = written(far_runs(tree.far), "runs")
     if once:
@@ -503,18 +522,18 @@ def score(docs: DataFrame, tree: Tree, table: tuple[np.ndarray, np.ndarray], cou
     schema = f"key {rows.schema['key'].dataType.simpleString()}, uid long, n_tokens long, n_known long, part double, gain double, rare array<bigint>, times array<bigint>, far array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
-        (keys, values, bits, starts, depth, words, count), uid = sent.value, number << 56 | TaskContext.get().partitionId() << 36
+        (keys, values, bits, starts, depth, words, count, words_from), uid = sent.value, number << 56 | TaskContext.get().partitionId() << 36
         log_count = np.log10(count + 0.5)
         for b in batches:
             for lo, hi, w in words_of(b.column(1)):
                 h, off = tokens(w)
                 n, row = np.diff(off), np.repeat(np.arange(hi - lo), np.diff(off))
-                at = find(words, h)
+                at = find_mixed(words_from, words, h)
                 known = at >= 0
                 part = np.bincount(row[known], log_count[at[known]], hi - lo).astype(float)
                 near, at_far, key_far = looked_up(keys, values, bits, starts, np.concatenate([[END], h]), depth)
                 gain = np.bincount(row, near[1:], hi - lo)
-                by = np.argsort(at_far, kind="stable")
+                by = order_of(at_far.astype(np.uint64))
                 far_off = np.searchsorted(row[at_far[by] - 1], np.arange(hi - lo + 1)).astype(np.int32)
                 far_keys = pa.ListArray.from_arrays(pa.array(far_off), pa.array(key_far[by].view(np.int64)))
                 far = np.flatnonzero(~known)

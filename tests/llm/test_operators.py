@@ -465,6 +465,25 @@ def test_far_values_give_no_row_for_each_text_and_range(spark, monkeypatch):
     assert 0 < rows_made(got, "FlatMapCoGroupsInArrowExec") <= 2 * 64
 
 
+def test_words_and_sequences_move_as_runs_and_not_as_rows(spark, monkeypatch):
+    r = random.Random(15)
+    texts = [" ".join(r.choices("abcdefghijklmnopqrst", k=200)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    write, moved = suffix_tree.written, []
+
+    def written(df, name):
+        if name in ("words", "listed"):
+            df.collect()
+            moved.append(rows_made(df, "MapInArrowExec"))
+        return write(df, name)
+
+    monkeypatch.setattr(suffix_tree, "written", written)
+    monkeypatch.setattr(suffix_tree, "ranges", lambda _: 3)
+    tree, _, counts = suffix_tree.fit(df, gain=1.0)
+    assert len(moved) == 4 and all(0 < n <= 2 * 8 for n in moved)
+    assert sorted(x["n"] for x in counts.collect()) == sorted(collections.Counter(w for t in texts for w in [*t.split(), "end"]).values())
+
+
 def test_far_values_are_asked_for_by_a_slice_of_the_texts_at_a_time(spark, monkeypatch):
     there, most, rows = {}, [0], [0]
     write, drop = suffix_tree.written, suffix_tree.discard

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from keyfold.llm import words as W
+from keyfold.llm.runs import order_of
 
 TEXTS = ["", None, "A b", "  lead and\ttrail\n\n", "éÀ ñ x ÉTÉ", "x" * 5000, "a\x0bb\x0cc\rd", "　  z", "one", "!!! ??", "word\x1cjoined"]
 
@@ -51,6 +52,27 @@ def test_hashes_follow_content():
     assert len({next(iter(v)) for v in by_word.values()}) == len(by_word)
 
 
+def test_word_hashes_follow_content_at_any_length():
+    r = random.Random(2)
+    one = ["x" * n for n in range(1, 100)] + ["x" * n + "\0" for n in range(100)] + ["".join(r.choice("ab\0é") for _ in range(r.randrange(1, 80))) for _ in range(500)]
+    by_word: dict = {}
+    for shift in range(9):
+        (_, _, w), = W.words_of(pa.array([" " * shift, *r.sample(one, len(one)), " ".join(one)]))
+        for a, b, h in zip(w.starts, w.ends, W.word_hash(w.data, w.starts, w.ends), strict=True):
+            by_word.setdefault(bytes(w.data[a:b]), set()).add(int(h))
+    assert by_word.keys() == {x.encode() for x in one} and all(len(v) == 1 for v in by_word.values())
+    assert len({next(iter(v)) for v in by_word.values()}) == len(by_word)
+    assert not len(W.word_hash(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
+def test_order_of_is_the_stable_order():
+    rng = np.random.default_rng(8)
+    wide = rng.integers(0, 1 << 64, 3000, np.uint64)
+    close = wide[:9].repeat(300) + rng.integers(0, 50, 2700, np.uint64)  # differ in their last bits only
+    for x in (wide, close, wide[:0], wide[:1], wide[:50].repeat(40), rng.integers(0, 99, 2000, np.uint64), np.array([1 << 63, 0, (1 << 64) - 1, 0], np.uint64)):
+        assert np.array_equal(order_of(x), np.argsort(x, kind="stable"))
+
+
 def test_shingles_are_sets():
     texts = ["a b c d a b c d", "a b", "a", "", None, "a b c"]
     (_, _, w), = W.words_of(pa.array(texts, pa.string()))
